@@ -44,6 +44,7 @@ class Layout:
     order: tuple[str, ...] = ("date",)
     bucket_seconds: int = 90 * 86400
     rows_per_part: int = 131_072
+    whole_bytes: int = 64 << 20
 
     def bucket(self, df: DataFrame) -> Column:
         name = self.order[0]
@@ -57,6 +58,15 @@ class Layout:
             c = c.cast("long")
         return F.floor(c / F.lit(self.bucket_seconds)).cast("long")
 
+    def whole(self, df: DataFrame) -> bool:
+        """Is the entire input provably small? Sizes come from the scanned files;
+        inputs Spark cannot size count as unbounded."""
+        try:
+            size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        except AttributeError:
+            return False
+        return size <= self.whole_bytes
+
     def with_(self, **changes: Any) -> "Layout":
         return replace(self, **changes)
 
@@ -110,6 +120,12 @@ def scan(df: DataFrame, layout: Layout, outputs: dict[str, Prefix]) -> DataFrame
     see nulls (that is how `previous` works).
     """
     keys, b = list(layout.keys), BUCKET
+    if layout.whole(df):
+        w = Window.partitionBy(*keys).orderBy(*layout.order)
+        return df.select("*", *[
+            _over(p.kind, F.lit(1).cast("long") if p.kind == "count" else p.value,
+                  w.rowsBetween(Window.unboundedPreceding, 0 if p.inclusive else -1)).alias(n)
+            for n, p in outputs.items()])
     order = F.struct(*layout.order)
     work = df.withColumn(b, layout.bucket(df))
     vals = {}
@@ -146,12 +162,17 @@ def number(df: DataFrame, layout: Layout) -> DataFrame:
     return scan(df, layout, {POS: Prefix("count")}).withColumn(POS, F.col(POS) - 1)
 
 
-def parts(df: DataFrame, layout: Layout, lookback: int) -> DataFrame:
+def parts(df: DataFrame, layout: Layout, lookback: int, whole: bool = False) -> DataFrame:
     """Cut each key into parts of `rows_per_part` rows plus `lookback` halo rows.
 
     A halo row is a copy of one of the rows just before the part; `_halo` marks
-    it and `drop_halo` removes it after the frames are evaluated.
+    it and `drop_halo` removes it after the frames are evaluated. With `whole`
+    (see `Layout.whole`) each key is one part without halo.
     """
+    if whole:
+        order = Window.partitionBy(*layout.keys).orderBy(*layout.order)
+        return df.withColumns({POS: F.row_number().over(order).cast("long") - 1,
+                               OWN: F.lit(0).cast("long"), PART: F.lit(0).cast("long"), HALO: F.lit(False)})
     size = layout.rows_per_part
     if lookback > size:
         raise ValueError(f"lookback {lookback} exceeds rows_per_part {size}")
@@ -282,7 +303,7 @@ def _fold(keys: list[str], names: list[str]) -> Callable[[pa.Table], pa.Table]:
 
 
 def recurrences(ext: DataFrame, layout: Layout, lookback: int, inputs: list[str],
-                levels: list[list[Recurrence]]) -> DataFrame:
+                levels: list[list[Recurrence]], whole: bool = False) -> DataFrame:
     """Add every recurrence to a `parts` frame, exactly, level by level.
 
     A level may read the outputs of earlier levels. Each level costs one pass
@@ -295,7 +316,10 @@ def recurrences(ext: DataFrame, layout: Layout, lookback: int, inputs: list[str]
     starts: DataFrame | None = None
     known: list[Recurrence] = []
     source = ext
-    for level in levels:
+    if whole:
+        known = [r for level in levels for r in level]
+        source = ext.withColumns({f"_s_{r.out}": F.lit(None).cast("double") for r in known})
+    for level in [] if whole else levels:
         names = [r.out for r in level]
 
         map_schema = key_schema + f", {PART} bigint, " + ", ".join(
@@ -344,7 +368,7 @@ class Machine:
 
 
 def state_machine(ext: DataFrame, layout: Layout, lookback: int, machine: Machine,
-                  label: str = "machine") -> DataFrame:
+                  label: str = "machine", whole: bool = False) -> DataFrame:
     """Run `machine` over a `parts` frame and add its outputs (null on halo rows).
 
     Every part first guesses its start state by running its halo. A part whose
@@ -387,9 +411,10 @@ def state_machine(ext: DataFrame, layout: Layout, lookback: int, machine: Machin
         return summarise(table, table["_want"][0].as_py(), True)
 
     state_schema = f"{key_schema}, {PART} bigint, _in array<double>, _out array<double>"
-    states = settle(ext.groupBy(*keys, PART).applyInArrow(guess, state_schema), label)
-    chain = Window.partitionBy(*keys).orderBy(PART)
-    while True:
+    if not whole:
+        states = settle(ext.groupBy(*keys, PART).applyInArrow(guess, state_schema), label)
+        chain = Window.partitionBy(*keys).orderBy(PART)
+    while not whole:
         linked = states.withColumn("_want", F.lag("_out").over(chain))
         wrong = linked.filter(~F.col("_in").eqNullSafe(F.col("_want"))).select(*keys, PART, "_want")
         if wrong.isEmpty():
@@ -409,7 +434,11 @@ def state_machine(ext: DataFrame, layout: Layout, lookback: int, machine: Machin
             table = table.append_column(n, pa.array(full, from_pandas=True))
         return table
 
-    ordered = ext.join(states.select(*keys, PART, "_in"), [*keys, PART], "left").select(*ext.columns, "_in")
+    if whole:
+        ordered = ext.withColumn("_in", F.lit(None).cast("array<double>"))
+    else:
+        ordered = (ext.join(states.select(*keys, PART, "_in"), [*keys, PART], "left")
+                   .select(*ext.columns, "_in"))
     schema = T.StructType([*ext.schema.fields,
                            *[T.StructField(n, T.DoubleType()) for n in machine.outputs]])
     return ordered.groupBy(*keys, PART).applyInArrow(emit, schema)
