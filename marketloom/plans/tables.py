@@ -112,7 +112,7 @@ def store_flush_day(spark, sf):
 @query("load_and_verify", """SELECT symbol, count(*) AS offered, count(*) AS stored, count(DISTINCT date_trunc('month', date)) AS resampled, 'PASS' AS status
     FROM daily_bars GROUP BY 1""", ("daily_bars",))
 def load_and_verify(spark, sf):
-    s = st.Store(spark, scratch_path(spark, "load"), "bars")
+    s = st.Store(spark, scratch_path(spark, "load"), "bars", "year")
     return st.load_and_verify(s, views.daily_bars(spark, sf), "1mo")
 
 

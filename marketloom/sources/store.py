@@ -3,7 +3,8 @@
 Layout: `<root>/<library>/data/_commit=N/day=D/` holds the rows of one commit of
 many symbols, clustered by symbol; `<root>/<library>/commits/` holds one row per
 commit and symbol with per-day counts and bounds. A commit exists once its rows in
-`commits` do. One writer per library at a time.
+`commits` do. One writer per library at a time. `grain` is the span of one `day`
+folder: days for ticks, months or years for bars, so that folders stay large.
 """
 
 from __future__ import annotations
@@ -43,6 +44,10 @@ class Store:
     spark: SparkSession
     root: str
     library: str
+    grain: str = "day"
+
+    def _period(self, c: Column) -> Column:
+        return F.date_trunc(self.grain, c).cast("date")
 
     @property
     def _data(self) -> str:
@@ -120,9 +125,9 @@ class Store:
         if symbols:
             live = live.filter(F.col("symbol").isin(symbols))
         if start:
-            live = live.filter(F.col("day") >= F.to_date(F.lit(start)))
+            live = live.filter(F.col("day") >= self._period(F.lit(start).cast("timestamp")))
         if end:
-            live = live.filter(F.col("day") <= F.to_date(F.lit(end)))
+            live = live.filter(F.col("day") <= self._period(F.lit(end).cast("timestamp")))
         # Commit numbers are few; with them only live folders are listed and read.
         live = live.select("symbol", "day", F.col("commit").alias("_commit"))
         numbers = [r[0] for r in live.select("_commit").distinct().collect()]
@@ -199,7 +204,7 @@ class Store:
     def _write_rows(self, rows: DataFrame, number: int) -> None:
         # Range clustering cuts a hot symbol's day over several files and keeps
         # row groups narrow in symbol.
-        (rows.withColumn("day", F.to_date("date")).repartitionByRange("day", "symbol", "date")
+        (rows.withColumn("day", self._period(F.col("date"))).repartitionByRange("day", "symbol", "date")
          .sortWithinPartitions("day", "symbol", "date").write.mode("overwrite").partitionBy("day")
          .option("compression", "zstd").option("parquet.compression.codec.zstd.level", "3")
          .parquet(f"{self._data}/_commit={number}"))
@@ -219,6 +224,8 @@ class Store:
 
     def replace_days(self, rows: DataFrame, meta: dict[str, str] | None = None, ts: datetime | None = None) -> list[date]:
         """Replace only the (symbol, day) pairs present in `rows`; returns the days."""
+        if self.grain != "day":
+            raise ValueError("replacing days needs a library kept by day")
         number = self._commit(rows, "replace_days", meta, ts)
         days = self.commits().filter(F.col("commit") == number).select(F.explode("days.day").alias("d")).distinct()
         return sorted(r[0] for r in days.collect())
@@ -290,7 +297,7 @@ def load_and_verify(store: Store, rows: DataFrame, interval: str = "1d") -> Data
     when stored equals offered and something came out of the resample."""
     from marketloom.operators.bars import resample
 
-    store.replace_days(rows, {"source": "load"})
+    (store.replace_days if store.grain == "day" else store.overwrite)(rows, {"source": "load"})
     span = rows.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
     back = store.read(start=str(span.a), end=str(span.b))
     n = lambda df, name: df.groupBy("symbol").agg(F.count("*").alias(name))
