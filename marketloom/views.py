@@ -64,7 +64,8 @@ def part_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bar per supplier and ship day."""
-    order = F.struct("seq", "part", "price", "size")
+    # (seq, part) is unique; one decimal keeps first/last in a hash aggregate.
+    order = F.col("seq").cast("decimal(20,0)") * F.lit(10 ** 12).cast("decimal(13,0)") + F.col("part")
     return (
         part_trades(spark, sf_dir)
         .groupBy(F.col("sym").alias("symbol"), F.col("time").alias("date"))
