@@ -53,7 +53,6 @@ def qualify(symbol: Column, exchange: str = "US") -> Column:
 
 
 def watchlist_feeds(symbols: DataFrame, column: str = "symbol") -> DataFrame:
-    """One row per feed with its distinct symbols, unsupported ones listed too."""
+    """Distinct symbols with their feed; the unsupported ones are told apart, not dropped."""
     s = symbols.select(clean(F.col(column)).alias("symbol")).filter(F.col("symbol") != "").distinct()
-    return (s.groupBy(feed_of(F.col("symbol")).alias("feed"))
-            .agg(F.array_sort(F.collect_list("symbol")).alias("symbols"), F.count("*").alias("n")))
+    return s.select(feed_of(F.col("symbol")).alias("feed"), "symbol")

@@ -18,7 +18,7 @@ def backward(requests: DataFrame, facts: DataFrame, keys: tuple[str, ...] = ("sy
     scan, so neither a long key nor many requests land in one task. Facts at the
     request's own time count.
     """
-    layout = (layout or Layout(bucket_seconds=86400)).with_(keys=keys, order=(time, "_side", "_tie"))
+    layout = (layout or Layout(bucket_seconds=3600)).with_(keys=keys, order=(time, "_side", "_tie"))
     own = [c for c in requests.columns if c not in (*keys, time)]
     value = [c for c in facts.columns if c not in (*keys, time)]
     f = facts.select(*keys, time, F.lit(0).alias("_side"),
@@ -59,21 +59,23 @@ def trailing_sum(bars: DataFrame, amounts: DataFrame, days: int, amount: str = "
                  keys: tuple[str, ...] = ("symbol",), date: str = "date") -> DataFrame:
     """`bars` plus the sum of `amounts` with bar day - days < day <= bar day.
 
-    Amounts are first summed per key and day. Every amount goes to its own slice
-    of `days` days and to the next, so a slice holds all a bar in it can reach.
+    Both sides are reduced to one row per key and day. Every amount goes to its own
+    slice of `days` days and to the next, so a slice holds all a day in it can reach
+    and never more than a few hundred rows; the day's sum is then joined to its bars.
     """
-    day = F.unix_date(F.to_date(date))
-    slice_ = F.floor(day / F.lit(days)).cast("long")
     paid = (amounts.groupBy(*keys, F.to_date(date).alias("_paid")).agg(F.sum(amount).alias("_amount"))
             .withColumn("_day", F.unix_date("_paid"))
             .withColumn("_slice", F.explode(F.array(*[
                 (F.floor(F.col("_day") / F.lit(days)) + i).cast("long") for i in (0, 1)])))
             .drop("_paid"))
-    mine = bars.withColumn("_day", day).withColumn("_slice", slice_).withColumn("_bar", F.lit(True))
+    dated = bars.withColumn("_day", F.unix_date(F.to_date(date)))
+    asked = dated.select(*keys, "_day").distinct().withColumns(
+        {"_slice": F.floor(F.col("_day") / F.lit(days)).cast("long"), "_bar": F.lit(True)})
     w = Window.partitionBy(*keys, "_slice").orderBy("_day").rangeBetween(-(days - 1), 0)
-    return (mine.unionByName(paid, allowMissingColumns=True)
+    sums = (asked.unionByName(paid, allowMissingColumns=True)
             .withColumn("trailing", F.coalesce(F.sum("_amount").over(w), F.lit(0.0)))
-            .filter("_bar").drop("_day", "_slice", "_bar", "_amount"))
+            .filter("_bar").select(*keys, "_day", "trailing"))
+    return dated.join(sums, [*keys, "_day"], "left").drop("_day")
 
 
 def tenure_weeks(tenures: DataFrame, weeks: DataFrame, key: str = "code", start: str = "start",

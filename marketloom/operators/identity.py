@@ -192,6 +192,19 @@ def lineage(asserted: DataFrame, captures: DataFrame, requests: DataFrame, runs:
             .unionByName(hop(reqs, 2, "request", "request_id")).unionByName(hop(done, 3, "run", "job_id")))
 
 
+# --- receipts -----------------------------------------------------------------------
+
+
+def receipt(kind: str, ctx: Context, manifest: DataFrame, request_id: str, fingerprint: str) -> DataFrame:
+    """One row per relation an answer was read from, with its pinned version, to append
+    to a receipts table. `manifest(symbol, version)`."""
+    return manifest.select(
+        F.lit(kind).alias("kind"), F.lit(request_id).alias("request_id"), F.lit(fingerprint).alias("fingerprint"),
+        F.col("symbol").alias("relation"), "version", F.lit(ctx.mode).alias("mode"),
+        F.lit(ctx.effective_at).cast("timestamp").alias("effective_at"), F.lit(ctx.known_at).cast("timestamp").alias("known_at"),
+        F.current_timestamp().alias("at"))
+
+
 # --- projections ------------------------------------------------------------------
 
 #: Model -> view, parameters as (name, type, required), modes it answers (fixed values).
@@ -271,15 +284,18 @@ def project(spark, model: str, params: dict, silver: Silver, ctx: Context) -> Da
                                   p["session_label"] or "session_date")
     ident = p.get("symbol") or p.get("identifier")
     asked = spark.createDataFrame([("q", ident, None)], "request string, identifier string, identifier_type string")
-    who = resolve(asked, silver, ctx).filter("status = 'resolved'").select(
-        F.col("listing_id").alias("_l"), F.col("security_id").alias("_s")).distinct()
+    # One identity or a refusal; its ids then reach the scans as literals.
+    who = resolve(asked, silver, ctx).select("listing_id", "security_id", "status").distinct().limit(2).collect()
+    if len(who) > 1:
+        raise LookupError(f"{ident} matches several securities under this context")
+    if who[0].status != "resolved":
+        raise LookupError(f"{ident} is {who[0].status}")
+    listing, security = F.lit(who[0].listing_id), F.lit(who[0].security_id)
     if model == "ReferenceSecurity":
-        hit = (F.col("listing_id") == F.col("_l")) | (F.col("security_id") == F.col("_s"))
-        # `who` holds the one identity asked for.
-        return view.join(F.broadcast(who), hit, "left_semi").select(
+        return view.filter((F.col("listing_id") == listing) | (F.col("security_id") == security)).select(
             "security_id", "cusip", "issuer_id", "successor_security_id", "predecessor_security_id", "listing_id",
             "symbol", "assertion_id", "capture_id")
-    view = view.join(who, F.col("listing_id") == F.col("_l"), "left_semi")
+    view = view.filter(F.col("listing_id") == listing)
     if model == "EquityHistorical":
         return (view.filter(F.col("market_date").between(p["start_date"], p["end_date"]))
                 .select(F.col("market_date").alias("date"), "open", "high", "low", "close", "volume", "listing_id",

@@ -128,7 +128,7 @@ def supersede(stored: DataFrame, incoming: DataFrame, relation: str, now: Column
 
 
 def job_states(jobs: DataFrame, events: DataFrame) -> DataFrame:
-    """Jobs with the state their event log gives them, and the stages in order.
+    """Jobs with the state their event log gives them and how many stages it holds.
 
     The log decides; the newest job row speaks where there is no event yet.
     """
@@ -138,12 +138,19 @@ def job_states(jobs: DataFrame, events: DataFrame) -> DataFrame:
     log = events.groupBy("job_id").agg(
         F.max_by("stage", "seq").alias("_stage"), F.max_by("at", "seq").alias("_at"),
         F.max_by("detail", F.when(F.col("stage").isin(*TERMINAL), F.col("seq"))).alias("_summary"),
-        # A job's stages are a short list, not a table.
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "stage", "at"))),
-                    lambda e: e["stage"]).alias("stage_history"))
+        F.count("*").alias("_stages"))
     return row.join(log, "job_id", "left").select(
         "job_id", "kind", "fingerprint", "created_at", F.coalesce("_stage", "state").alias("state"),
-        F.coalesce("_at", "updated_at").alias("updated_at"), F.col("_summary").alias("summary"), "stage_history")
+        F.coalesce("_at", "updated_at").alias("updated_at"), F.col("_summary").alias("summary"),
+        F.coalesce("_stages", F.lit(0).cast("long")).alias("stages"))
+
+
+def stage_history(events: DataFrame) -> DataFrame:
+    """Every job's stages as rows, numbered in order."""
+    from marketloom.operators import series
+
+    layout = series.Layout(keys=("job_id",), order=("seq",), bucket_seconds=100_000)
+    return series.number(events.select("job_id", "seq", "stage", "at"), layout).withColumnRenamed(series.POS, "place")
 
 
 def jobs_in_state(states: DataFrame, state: str) -> DataFrame:

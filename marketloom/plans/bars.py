@@ -212,7 +212,6 @@ def symbol_feeds(spark, sf):
 
 @query("watchlist_feeds", f"""WITH s AS (SELECT DISTINCT upper({_SHAPED}) AS symbol FROM orders)
     SELECT CASE WHEN symbol = 'EURUSD' THEN 'forex' WHEN symbol = 'BTC-USDT' THEN 'crypto'
-    WHEN symbol = 'TALA.TO' THEN 'unsupported' ELSE 'us' END AS feed, list(symbol ORDER BY symbol) AS symbols,
-    count(*) AS n FROM s GROUP BY 1""")
+    WHEN symbol = 'TALA.TO' THEN 'unsupported' ELSE 'us' END AS feed, symbol FROM s""")
 def watchlist_feeds(spark, sf):
     return classify.watchlist_feeds(_symbols(spark, sf))

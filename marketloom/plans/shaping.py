@@ -13,16 +13,14 @@ def lines(spark, sf):
 
 
 def _body(rows, fields, keyed=None, wrap=("", "")):
-    """One body per order: its lines (a handful) as a JSON list or keyed object."""
+    """One body per line of an order, as a JSON list or an object keyed by `keyed`."""
     item = F.struct(*[F.expr(e).alias(n) for n, e in fields.items()])
     if keyed is None:
-        text = F.to_json(F.collect_list(item))
+        text = F.to_json(F.array(item))
     else:
-        keyed_rows = rows.groupBy("l_orderkey", F.expr(keyed).alias("k")).agg(F.max(item).alias("v"))
-        return keyed_rows.groupBy("l_orderkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))).alias("t")).select(
-            F.concat(F.lit("o"), "l_orderkey").alias("symbol"), F.concat(F.lit(wrap[0]), "t", F.lit(wrap[1])).alias("payload"))
-    return rows.groupBy("l_orderkey").agg(text.alias("t")).select(
-        F.concat(F.lit("o"), "l_orderkey").alias("symbol"), F.concat(F.lit(wrap[0]), "t", F.lit(wrap[1])).alias("payload"))
+        rows = rows.groupBy("l_orderkey", F.expr(keyed).alias("k")).agg(F.max(item).alias("v"))
+        text = F.to_json(F.create_map("k", "v"))
+    return rows.select(F.concat(F.lit("o"), "l_orderkey").alias("symbol"), F.concat(F.lit(wrap[0]), text, F.lit(wrap[1])).alias("payload"))
 
 
 _SYM = "'O' || CAST(l_orderkey AS VARCHAR)"
@@ -36,8 +34,7 @@ def _statements(spark, sf, bucket):
     entry = F.struct(F.col("d").cast("string").alias("date"), F.lit("2000-01-01").alias("filing_date"),
                      F.col("rev").cast("string").alias("totalRevenue"), F.col("qty").alias("netIncome"), F.col("flag").alias("someOddItem"),
                      F.lit("").alias("ebit"))
-    return per_day.groupBy("l_orderkey").agg(F.to_json(F.map_from_entries(F.collect_list(
-        F.struct(F.col("d").cast("string").alias("k"), entry.alias("v"))))).alias("t")).select(
+    return per_day.withColumn("t", F.to_json(F.create_map(F.col("d").cast("string"), entry))).select(
         F.concat(F.lit("o"), "l_orderkey").alias("symbol"),
         F.concat(F.lit('{"General":{"FiscalYearEnd":"'), F.element_at(F.array(*[F.lit(m.title()) for m in x.MONTHS]),
                  (F.pmod("l_orderkey", F.lit(12)) + 1).cast("int")),

@@ -18,6 +18,8 @@ RUNTIME = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.compression.codec": "zstd",
+    # Newest-n reads keep n rows per key before the shuffle, up to the row cap.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
 

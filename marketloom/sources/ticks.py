@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.operators.series import Layout, Prefix, scan
+
 ZONE = "America/New_York"
 #: Columns of the two file kinds (fixed values).
 TRADE = ("timestamp", "price", "volume", "exchange", "conditions")
@@ -35,12 +37,14 @@ def local_to_utc(text: Column, zone: str = ZONE) -> tuple[Column, Column]:
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank lines with file and physical line number. Spark skips `_*` and `.*`.
 
-    Whole files are the reader's unit for numbering; tick files are per symbol and
-    day. `read` alone does not need this.
+    Files stay splittable: lines are counted per split and the counts carried over
+    the splits of a file.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.col("value"), F.input_file_name().alias("file"))
-    return (raw.select("file", F.posexplode(F.split("value", "\r?\n")).alias("_i", "line"))
-            .select("file", (F.col("_i") + 1).alias("line_number"), "line").filter("trim(line) <> ''"))
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
+    by_split = Layout(keys=("file",), order=("_block", "_row"), bucket_seconds=1)
+    return scan(raw, by_split, {"line_number": Prefix("count")}).drop("_block", "_row").filter("trim(line) <> ''")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
