@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+import zipfile
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,9 +44,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application. A package that
+    came in an archive (`--py-files`) is there already."""
+    context, package = spark.sparkContext, Path(__file__).parent
+    if getattr(context, "_marketloom_shipped", False) or not package.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "marketloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._marketloom_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a local one only where none is named."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -53,11 +70,16 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        folder = os.environ.get("MARKETLOOM_SCRATCH") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local_folder()
     return folder.rstrip("/")
 
 
+@cache
+def _local_folder() -> str:
+    """One scratch folder per local process, where no shared one is named."""
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/marketloom/{label}-{uuid.uuid4().hex}"
 
