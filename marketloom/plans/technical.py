@@ -159,9 +159,37 @@ _recursive("adx", _DM, {**_dp, **_dm, **_at, "x": (
     {"adx": "x", "di_plus": "100 * p1 / nullif(t1, 0)", "di_minus": "100 * m1 / nullif(t1, 0)"})
 
 
-# Path-dependent: no SQL twin; the tests compare them with plain loops.
-query("ind_sar")(lambda spark, sf: _run(spark, sf, "sar"))
-query("ind_supertrend")(lambda spark, sf: _run(spark, sf, "supertrend"))
+_ROWS = """b AS MATERIALIZED (SELECT symbol, date, high, low, close, lag(close) OVER w AS c1, lag(low) OVER w AS l1, lag(high) OVER w AS h1,
+      coalesce(lag(low, 2) OVER w, lag(low) OVER w) AS l2, coalesce(lag(high, 2) OVER w, lag(high) OVER w) AS h2,
+      row_number() OVER w AS rn FROM daily_bars WINDOW w AS (PARTITION BY symbol ORDER BY date))"""
+
+
+@query("ind_sar", f"""WITH RECURSIVE {_ROWS},
+    r AS (SELECT symbol, date, rn, 1 AS up, low AS stop, high AS peak, CAST(0.02 AS DOUBLE) AS pace FROM b WHERE rn = 1
+      UNION ALL SELECT symbol, date, rn, CASE WHEN flip THEN 1 - up ELSE up END, CASE WHEN flip THEN peak ELSE s2 END,
+        CASE WHEN flip AND up = 1 THEN low WHEN flip THEN high WHEN up = 1 THEN greatest(peak, high) ELSE least(peak, low) END,
+        CASE WHEN flip THEN 0.02 WHEN (up = 1 AND high > peak) OR (up = 0 AND low < peak) THEN least(pace + 0.02, 0.2) ELSE pace END
+      FROM (SELECT *, CASE WHEN up = 1 THEN low < s2 ELSE high > s2 END AS flip FROM (
+        SELECT b.symbol, b.date, b.rn, b.high, b.low, p.up, p.peak, p.pace, CASE WHEN p.up = 1
+          THEN least(p.stop + p.pace * (p.peak - p.stop), b.l1, b.l2) ELSE greatest(p.stop + p.pace * (p.peak - p.stop), b.h1, b.h2) END AS s2
+        FROM r p JOIN b ON b.symbol = p.symbol AND b.rn = p.rn + 1)))
+    SELECT symbol, date, CASE WHEN rn > 1 THEN round(stop, 4) END AS sar FROM r""", ("daily_bars",))
+def ind_sar(spark, sf):
+    return _run(spark, sf, "sar")
+
+
+@query("ind_supertrend", f"""WITH RECURSIVE {_ROWS},
+    r AS (SELECT symbol, date, rn, high - low AS atr, CAST(NULL AS DOUBLE) AS hi, CAST(NULL AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS side FROM b WHERE rn = 1
+      UNION ALL SELECT symbol, date, rn, atr, hi, lo, CASE WHEN side = 1 AND close < lo THEN -1 WHEN side = -1 AND close > hi THEN 1 ELSE side END
+      FROM (SELECT symbol, date, rn, close, atr, side, CASE WHEN hi0 IS NULL OR mid + 3 * atr < hi0 OR c1 > hi0 THEN mid + 3 * atr ELSE hi0 END AS hi,
+          CASE WHEN lo0 IS NULL OR mid - 3 * atr > lo0 OR c1 < lo0 THEN mid - 3 * atr ELSE lo0 END AS lo
+        FROM (SELECT b.symbol, b.date, b.rn, b.close, b.c1, p.side, p.hi AS hi0, p.lo AS lo0, (b.high + b.low) / 2 AS mid,
+            p.atr + (greatest(b.high - b.low, abs(b.high - b.c1), abs(b.low - b.c1)) - p.atr) / 10 AS atr
+          FROM r p JOIN b ON b.symbol = p.symbol AND b.rn = p.rn + 1)))
+    SELECT symbol, date, CASE WHEN rn > 1 THEN round(CASE WHEN side = 1 THEN lo ELSE hi END, 4) END AS supertrend,
+      CASE WHEN rn > 1 THEN side END AS st_direction FROM r""", ("daily_bars",))
+def ind_supertrend(spark, sf):
+    return _run(spark, sf, "supertrend")
 
 
 @query("session_levels", """WITH m AS (SELECT sym AS symbol, time_bucket(INTERVAL '1 hour', time) AS date,

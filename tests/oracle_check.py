@@ -1,6 +1,8 @@
 """Run registered queries against their DuckDB twins.
 
-    python tests/oracle_check.py [--sf 0.01] [name or prefix ...]
+    python tests/oracle_check.py [--sf 0.01] [--cut] [name or prefix ...]
+
+`--cut` treats every input as large and cuts series into parts of 700 rows.
 """
 
 import argparse
@@ -38,7 +40,12 @@ def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="0.01")
     ap.add_argument("names", nargs="*")
+    ap.add_argument("--cut", action="store_true")
     args = ap.parse_args()
+    if args.cut:
+        from marketloom.operators import indicators, series
+        series.Layout.__init__.__defaults__ = (("symbol",), ("date",), 90 * 86400, 700, 0)
+        indicators.WARM_UP = 60
     sf = f"/root/testdata/sf{args.sf}"
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark = session.build("oracle", master="local[8]", shuffle_partitions=8, **{
