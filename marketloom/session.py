@@ -20,6 +20,8 @@ RUNTIME = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.compression.codec": "zstd",
+    # Zone-less stamps in files are UTC instants: read as such, their filters reach the scan.
+    "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
     # Newest-n reads keep n rows per key before the shuffle, up to the row cap.
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
