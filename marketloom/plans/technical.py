@@ -234,3 +234,19 @@ def _mean_range():
         def declare(plan, p):
             return {"mean_tr": F.col(plan.rolling("mean", plan.true_range(), p["period"]))}
     return ind.resolve("mean_tr")
+
+
+@query("bundle_squeeze", f"""WITH RECURSIVE l AS (SELECT *, {_PREV} FROM daily_bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+      t AS (SELECT *, {_TR}, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn, {_roll('avg', 'adj_close', 20)} AS m,
+        {_roll('stddev_pop', 'adj_close', 20)} AS sd FROM l),
+      b AS MATERIALIZED (SELECT * FROM t),
+      r AS (SELECT symbol, rn, adj_close AS e, tr AS a10, tr AS a14 FROM b WHERE rn = 1 UNION ALL
+        SELECT b.symbol, b.rn, p.e * 19 / 21 + b.adj_close * 2 / 21, p.a10 * 9 / 10 + b.tr / 10, p.a14 * 13 / 14 + b.tr / 14
+        FROM r p JOIN b ON b.symbol = p.symbol AND b.rn = p.rn + 1)
+    SELECT symbol, date, round(m + 2 * sd, 4) AS bb_up, round(e + 1.5 * a10, 4) AS kc_up, round(4 * sd / m * 100, 4) AS bandwidth,
+      round((adj_close - (m - 2 * sd)) / nullif(4 * sd, 0), 4) AS pct_b, round(a14, 4) AS atr FROM b JOIN r USING (symbol, rn)""", ("daily_bars",))
+def bundle_squeeze(spark, sf):
+    from marketloom.functions.requests import shipped
+    out = ind.compute(views.daily_bars(spark, sf), shipped("volatility-squeeze").requests())
+    picks = {c.split("|")[0]: c for c in out.columns if "|" in c}
+    return out.select("symbol", "date", *[F.round(F.col(f"`{picks[n]}`"), DIGITS).alias(n) for n in ("bb_up", "kc_up", "bandwidth", "pct_b", "atr")])

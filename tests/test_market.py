@@ -178,3 +178,25 @@ def test_stream_of_many_files_equals_batch(spark, tmp_path):
 
 def test_java_pattern():
     assert dialect.java_pattern("%Y-%m-%dT%H") == "yyyy-MM-dd'T'HH"
+
+
+def test_shipped_bundles_and_catalog(spark):
+    from marketloom.operators import indicators as ind
+    assert {n: len(rq.shipped(n).requests()) for n in rq.SHIPPED} == {"classic-momentum": 5, "volatility-squeeze": 5}
+    rows = ind.catalog(spark).collect()
+    assert len({r.name for r in rows if r.name != "mean_tr"}) == 34 and {r.kind for r in rows} == {
+        "window", "cumulative", "recurrence", "stateful", "session"}
+
+
+def test_landing_receipts_and_counts(spark, tmp_path):
+    from marketloom.operators import identity, promotion, topk
+    from marketloom.operators.temporal import parse_context
+    landed = promotion.land(spark.createDataFrame([("x" * 10,)], "payload string")).first()
+    assert landed.bytes == 10 and len(landed.content_hash) == 64
+    r = identity.receipt("sql", parse_context(), spark.createDataFrame([("silver.listings", 3)], "symbol string, version long"), "req", "fp").first()
+    assert (r.relation, r.version, r.mode) == ("silver.listings", 3, "current_corrected")
+    df = spark.createDataFrame([("a", None), ("b", 2.0), ("c", -1.0)], "code string, weight double")
+    assert [x.code for x in topk.by_weight(df, "weight", "code").collect()] == ["b", "a", "c"]
+    watched, counts = quality.observed(df, "checks", missing=F.col("weight").isNull())
+    watched.write.mode("overwrite").parquet(str(tmp_path / "w"))
+    assert counts.get == {"rows": 3, "missing": 1}
