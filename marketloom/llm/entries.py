@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import compression_classifier, line_dedup, ngram_join, packing, quality_rules, relative_lz, suffix_dedup, two_pass_shuffle, url_vocabulary
+from marketloom.llm import compression_classifier, decontaminate, line_dedup, ngram_join, packing, quality_rules, relative_lz, suffix_dedup, two_pass_shuffle, url_vocabulary
 from marketloom.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(table(spark, sf_dir, "documents")).select(
         F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@entry("op1_template_decontamination")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_ids", "n_covered")
