@@ -77,7 +77,7 @@ def _members(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["doc_id", "node", "n", "parity", "block", "counts"]
+        names = ["doc_id", "key", "node", "n", "parity", "block", "counts"]
         seen = False
         for batch in batches:
             for a, b, data, offsets in T.chunks(batch):
@@ -90,13 +90,13 @@ def _members(n: int):
                     own = token[part[0]:part[-1]]
                     parity = _parity(own, part - part[0])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(c, d - c), pa.array(T.signed(node_of(own, part - part[0]))), pa.array(np.diff(part)),
+                        [batch.column(0).slice(c, d - c), batch.column(1).slice(c, d - c), pa.array(T.signed(node_of(own, part - part[0]))), pa.array(np.diff(part)),
                          pa.array([x.tobytes() for x in parity], pa.binary()), pa.nulls(d - c, pa.int32()), pa.nulls(d - c, pa.binary())], names=names)
         if seen:
             blocks = np.minimum(counts, 255).astype(np.uint8).reshape(-1, 1 << BLOCK_BITS)
             m = len(blocks)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()),
+                [*(pa.nulls(m, pa.int64()) for _ in range(4)), pa.nulls(m, pa.binary()),
                  pa.array(np.arange(m), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], names=names)
 
     return run
@@ -291,12 +291,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id of the group) and node (the
-    name of the row's set) of every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    found = settle(docs.mapInArrow(_members(n), "doc_id long, node long, n long, parity binary, block int, counts binary"), "members")
+    """doc_id, n_shingles, component_id (the smallest doc_id of the group), key (a name of
+    the row's id and text) and first (whether the row is the group's first) of every row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(
+        "doc_id", F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("text"))
+    found = settle(docs.mapInArrow(_members(n), "doc_id long, key long, node long, n long, parity binary, block int, counts binary"), "members")
     frequent = _frequent(found)
-    members = found.where("block is null").select("doc_id", "node", "n", "parity")
+    members = found.where("block is null").select("doc_id", "key", "node", "n", "parity")
     nodes = members.where("n > 0").dropDuplicates(["node"])
     prefixes = docs.select("text").mapInArrow(_prefixes(n, percent, frequent), "token long, node long, place long")
     lists = settle(prefixes.select("token", "place", "node").repartition("token").sortWithinPartitions("token", "place", "node").mapInArrow(
@@ -314,17 +315,22 @@ def join_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # the groups found so far are paths to their labels
     groups = components(groups.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
     labelled = members.join(groups, "node", "left").select(
-        "doc_id", "n", "node", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
-    smallest = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+        "doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
+    smallest = labelled.where("label is not null").groupBy("label").agg(
+        F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("first_key"))
     return labelled.join(smallest, "label", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "node")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "key",
+        F.coalesce(F.col("key") == F.col("first_key"), F.lit(True)).alias("first"))
 
 
 def first_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its group, all columns as given;
-    of rows that repeat that doc_id, one. Rows with a null doc_id or an empty set stay."""
-    row = docs.select(F.struct("*").alias("row"))
-    groups = join_groups(docs, n, percent)
-    gone = groups.where("doc_id != component_id").select("doc_id").distinct()
-    rows = row.withColumn("id", F.col("row.doc_id").cast("long"))
-    return rows.join(gone.withColumnRenamed("doc_id", "id"), "id", "left_anti").select("row.*")
+    """The first row of each group, by doc_id with null last, all columns as given. Of rows
+    that repeat its id and text, one stays. Rows with an empty set are groups of their own."""
+    groups = settle(join_groups(docs, n, percent), "groups")
+    gone = groups.where("not first").select("key").distinct()
+    again = groups.where("first and n_shingles > 0").groupBy("key").count().where("count > 1").select("key")
+    rows = docs.select(F.struct("*").alias("row")).withColumn("key", F.xxhash64(F.col("row.doc_id").cast("long"), "row.text"))
+    kept = rows.join(gone, "key", "left_anti")
+    if not again.isEmpty():
+        kept = kept.join(again, "key", "left_anti").unionByName(kept.join(again, "key", "left_semi").dropDuplicates(["key"]))
+    return kept.select("row.*")

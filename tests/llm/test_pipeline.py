@@ -31,13 +31,13 @@ def test_odd_rows(spark, tmp_path):
     prose = "It was the best of times and it was the worst of times for all of the people in the town that is by the sea and on the hill"
     rows = [(1, prose + ", " + ITEM + " " + " ".join(f"with word{i} in it" for i in range(20)), "en", "s", 1, "a"), (2, None, None, None, None, None), (3, "", "xx", "s", 0, "b"),
             (None, None, "en", "s", 5, "c")]
-    rows += [(i, " ".join(f"w{i}x{j} of the and to in a" for j in range(14)), "en", "s", 3, "d") for i in (10, 11, 11)]
+    rows += [(i, " ".join(f"w{i}x{j} of the w{j}y{i} to in w{i}z{j} and a" for j in range(14)), "en", "s", 3, "d") for i in (10, 11, 11)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string")
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for name, stage in P.STAGES[:-1]:
         docs = P.settle(stage(spark, docs, str(tmp_path)), name)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "row"]
-    assert sorted(r.doc_id for r in docs.collect()) == [10, 11, 11]
+    assert sorted(r.doc_id for r in docs.collect()) == [10, 11]
 
 
 def test_empty(spark, sf):
