@@ -18,12 +18,13 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from marketloom.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules  # noqa: E402
 from marketloom.llm.entries import table, word_tokenizer  # noqa: E402
-from marketloom.session import settle, ship  # noqa: E402
+from marketloom.llm.text import ready  # noqa: E402
+from marketloom.session import settle  # noqa: E402
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. A row is judged by its own text and language."""
-    ship(spark)
+    ready(spark)
     row = docs.select(F.struct("*").alias("row"))
     named = row.withColumn("key", F.xxhash64(F.col("row.doc_id").cast("long"), "row.text", "row.lang"))
     judged = quality_rules.judge(named.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"), F.col("row.lang").alias("lang")))
@@ -33,7 +34,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line repeats or nearly repeats."""
-    ship(spark)
+    ready(spark)
     out = line_dedup.drop_lines(docs)
     kept = F.when((F.col("n_removed") == 0) & F.col("row.text").isNull(), F.lit(None)).otherwise(F.col("kept"))
     given = {"text": kept}
@@ -45,19 +46,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id."""
-    ship(spark)
+    ready(spark)
     return ngram_join.first_of_each_group(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    ship(spark)
+    ready(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences of 4096."""
-    ship(spark)
+    ready(spark)
     return packing.pack(docs, word_tokenizer())
 
 

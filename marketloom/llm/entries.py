@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm import compression_classifier, decontaminate, line_dedup, ngram_join, packing, quality_rules, relative_lz, suffix_dedup, two_pass_shuffle, url_vocabulary
-from marketloom.session import ship
+from marketloom.llm.text import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +17,7 @@ ORACLES: dict[str, str] = {}
 def entry(name: str, sql: str | None = None):
     def wrap(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
+            ready(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run

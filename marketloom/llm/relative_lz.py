@@ -26,6 +26,6 @@ from marketloom.llm.repeats import Kind, remove_repeats
 def drop_repeats(docs: DataFrame, width: int = 13, k: int = 4, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, n_spans, kept_sha256 of every row; `with_text` adds the
     removed spans (word numbers) and the kept text."""
-    out = remove_repeats(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text"), Kind(width, min(k, width), True, True), with_text)
+    out = remove_repeats(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text"), Kind(width, min(k, width), 3, True, True), with_text)
     out = out.withColumnRenamed("n_units", "n_words")
     return out.withColumn("kept", F.col("kept").cast("string")) if with_text else out

@@ -10,10 +10,14 @@ span, from the first window's start to the last window's end. Then:
 * runs whose sample name occurs once are dropped: none of their windows repeats;
 * sorted by (sample name, span name), neighbours with equal spans decide all windows of
   the run at once;
-* where one sample name has several spans, the first row of each span gives its windows
-  one by one; these are sorted by window name and decided by their neighbours.
+* where one sample name has several spans, the first row of each span is cut into cells of
+  `cell` window starts, on a grid that the sample fixes. A cell has a name of its own span
+  and one of its core, the units that all windows of the grid cell share. Cells are sorted
+  and decided as the runs were, with the core in the sample's place;
+* what still differs around an equal core, the edges of repeats, gives its windows one by
+  one, and these are sorted by name and decided by their neighbours.
 
-Both sorts stream: a task keeps no more of a key's rows than one for each span.
+All three sorts stream: a task keeps no more of a key's rows than one for each span.
 
 Two questions are answered: `EARLIER` (does the window also start in a document with a
 smaller id?) and `ELSEWHERE` (does it start at any other place?). Rows repeat, so runs
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm import text as T
-from marketloom.session import settle
+from marketloom.session import scratch_path, settle
 
 RUNS = "sample long, span long, id long, place long"
 _U = np.uint64
@@ -46,6 +50,7 @@ class Kind:
 
     width: int
     k: int
+    cell: int
     by_words: bool
     earlier: bool  # only windows of smaller ids count; else any other place
 
@@ -153,42 +158,86 @@ def _decide_runs(kind: Kind):
     return run
 
 
+def _lists(columns: pa.Array, *fields: str):
+    """Row offsets and the flat fields of a column of lists of structs."""
+    flat = columns.flatten()
+    return np.concatenate([[0], np.cumsum(columns.value_lengths().fill_null(0).to_numpy())]), [flat.field(f).to_numpy() for f in fields]
+
+
+def _own(kind: Kind, roll: T.Roll, first: np.ndarray, doc: np.ndarray, begin: np.ndarray, extra: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Which spans are in the text under their name: others belong to another text with this id."""
+    fits = np.flatnonzero(begin + extra + kind.width <= np.diff(first)[doc])
+    at = begin[fits] + first[doc[fits]]
+    return fits[roll.span(at, at + extra[fits] + kind.width) == name[fits].view(_U)]
+
+
+def _cells(kind: Kind, roll: T.Roll, begin: np.ndarray, extra: np.ndarray):
+    """Cells of runs (in units of the chunk): run, first and last window start, core and span names."""
+    if not len(begin):
+        return begin, begin, begin, begin.view(_U), begin.view(_U)
+    inner = kind.width - kind.k + 1
+    at = T.spread(begin, np.full(len(begin), inner))
+    packed = (roll.span(at, at + kind.k) >> _U(32) << _U(32)).reshape(-1, inner)
+    sample = begin + packed.argmin(axis=1)  # the first of equal ones, as in the runs
+    w, run = T.spread(begin, extra + 1), T.owners(extra + 1)
+    grid = (sample[run] - w) // kind.cell
+    new = np.ones(len(w), bool)
+    new[1:] = (grid[1:] != grid[:-1]) | (run[1:] != run[:-1])
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(w)) - 1
+    run, q, low, high = run[head], grid[head], w[head], w[tail]
+    left = sample[run] - q * kind.cell
+    core = T.mix(roll.span(left, left - kind.cell + 1 + kind.width) + q.astype(_U))
+    return run, low, high, core, roll.span(low, high + kind.width)
+
+
 def _probe(kind: Kind):
-    """Texts with their runs: covered windows as spans, windows still to be decided by name."""
+    """Texts with their runs: covered windows as spans, the cells still to be decided."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
-            flat, at = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
-            place, span, role = (flat.field(f).to_numpy() for f in ("place", "span", "role"))
+            at, (place, span, role) = _lists(batch.column(3), "place", "span", "role")
             for a, b, data, offsets in T.chunks(batch):
                 starts, ends, first = kind.units(data, offsets)
                 roll = kind.roll(data, starts, ends)
-                doc = T.owners(np.diff(at[a:b + 1]))
-                rows = slice(at[a], at[b])
-                begin, extra = place[rows] >> 16, place[rows] & 0xFFFF
-                fits = begin + extra + kind.width <= np.diff(first)[doc]
-                begin, extra, doc, named, does = (begin + first[doc])[fits], extra[fits], doc[fits], span[rows][fits].view(_U), role[rows][fits]
-                own = roll.span(begin, begin + extra + kind.width) == named  # not a run of another text with this id
+                doc, rows = T.owners(np.diff(at[a:b + 1])), slice(at[a], at[b])
+                begin, extra, does = place[rows] >> 16, place[rows] & 0xFFFF, role[rows]
+                own = _own(kind, roll, first, doc, begin, extra, span[rows])
                 begin, extra, doc, does = begin[own], extra[own], doc[own], does[own]
-                covered = (does & COVERED) > 0
-                probes = (does & PROBE) > 0
-                w = T.spread(begin[probes], extra[probes] + 1)
-                wdoc = np.repeat(doc[probes], extra[probes] + 1)
-                wname = T.signed(roll.span(w, w + kind.width))
-                wants = np.repeat(~covered[probes], extra[probes] + 1)
-
-                def lists_of(owner, values, kind_):
+                covered, probes = (does & COVERED) > 0, np.flatnonzero(does & PROBE)
+                of, low, high, core, name = _cells(kind, roll, begin[probes] + first[doc[probes]], extra[probes])
+                of = probes[of]
+                cells = (low - first[doc[of]]) << 17 | (high - low) << 1 | ~covered[of]
+
+                def lists_of(owner, values):
                     order = np.argsort(owner, kind="stable")
-                    cut = np.searchsorted(owner[order], np.arange(b - a + 1))
-                    return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(values[order], kind_))
+                    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[order], np.arange(b - a + 1)), pa.int32()), pa.array(values[order]))
 
-                w = w - first[wdoc]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(a, b - a) for i in range(3)),
-                     lists_of(doc[covered], (begin - first[doc])[covered] << 16 | extra[covered], pa.int64()),
-                     lists_of(wdoc, wname, pa.int64()), lists_of(wdoc, w << 1 | wants, pa.int64())],
-                    names=["id", "doc_id", "text", "covered", "names", "places"])
+                    [*(batch.column(i).slice(a, b - a) for i in range(3)), lists_of(doc[covered], (begin << 16 | extra)[covered]),
+                     lists_of(doc[of], T.signed(core)), lists_of(doc[of], T.signed(name)), lists_of(doc[of], cells)],
+                    names=["id", "doc_id", "text", "covered", "cores", "spans", "places"])
+
+    return run
+
+
+def _open_windows(kind: Kind):
+    """Windows of texts (id, text, cells) still undecided: name, id and place << 1 | wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            at, (place, span) = _lists(batch.column(2), "place", "span")
+            for a, b, data, offsets in T.chunks(batch):
+                starts, ends, first = kind.units(data, offsets)
+                roll = kind.roll(data, starts, ends)
+                doc, rows = T.owners(np.diff(at[a:b + 1])), slice(at[a], at[b])
+                begin, extra, wanted = place[rows] >> 17, place[rows] >> 1 & 0xFFFF, place[rows] & 1
+                own = _own(kind, roll, first, doc, begin, extra, span[rows])
+                begin, extra, doc, wanted = begin[own], extra[own], doc[own], wanted[own]
+                w, of = T.spread(begin, extra + 1), T.owners(extra + 1)
+                x = w + first[doc[of]]
+                yield pa.RecordBatch.from_arrays([pa.array(T.signed(roll.span(x, x + kind.width))), pa.array(ids[a:b][doc[of]]), pa.array(w << 1 | wanted[of])], names=["name", "id", "place"])
 
     return run
 
@@ -212,7 +261,7 @@ def _decide_windows(kind: Kind):
             repeated = ~first | (np.bincount(of)[of] > 1) | (again[of] > 0)
         wait = np.zeros(n, bool) if last else first & (lead == lead[-1])
         out = repeated & ~wait & ((place & 1) > 0)
-        return [ids[out], place[out] >> 1], [x[wait] for x in (name, ids, place)] + [repeated[wait].astype(np.int64)]
+        return [ids[out], place[out] >> 1 << 16, name[out]], [x[wait] for x in (name, ids, place)] + [repeated[wait].astype(np.int64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 4
@@ -221,9 +270,9 @@ def _decide_windows(kind: Kind):
             rows = [np.concatenate([h, r]) for h, r in zip(held, [*rows, np.zeros(len(rows[0]), np.int64)], strict=True)]
             if len(rows[0]):
                 out, held = pick(rows, False)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["id", "place", "span"])
         if len(held[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pick(held, True)[0]], names=["id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pick(held, True)[0]], names=["id", "place", "span"])
 
     return run
 
@@ -244,15 +293,17 @@ def _finish(kind: Kind, with_text: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            covered, single = batch.column(3), batch.column(4)
+            covered = batch.column(3)
             cat, cflat = np.concatenate([[0], np.cumsum(covered.value_lengths().fill_null(0).to_numpy())]), covered.flatten().to_numpy()
-            sat, sflat = np.concatenate([[0], np.cumsum(single.value_lengths().fill_null(0).to_numpy())]), single.flatten().to_numpy()
+            sat, (splace, sname) = _lists(batch.column(4), "place", "span")
             for a, b, data, offsets in T.chunks(batch):
                 starts, ends, first = kind.units(data, offsets)
-                c, s = cflat[cat[a]:cat[b]], sflat[sat[a]:sat[b]]
-                cdoc, sdoc = T.owners(np.diff(cat[a:b + 1])), T.owners(np.diff(sat[a:b + 1]))
-                begin = np.concatenate([(c >> 16) + first[cdoc], s + first[sdoc]])
-                size = np.concatenate([(c & 0xFFFF) + kind.width, np.full(len(s), kind.width, np.int64)])
+                c, cdoc = cflat[cat[a]:cat[b]], T.owners(np.diff(cat[a:b + 1]))
+                s, sdoc = splace[sat[a]:sat[b]], T.owners(np.diff(sat[a:b + 1]))
+                if len(s):
+                    own = _own(kind, kind.roll(data, starts, ends), first, sdoc, s >> 16, s & 0xFFFF, sname[sat[a]:sat[b]])
+                    c, cdoc = np.concatenate([c, s[own]]), np.concatenate([cdoc, sdoc[own]])
+                begin, size = (c >> 16) + first[cdoc], (c & 0xFFFF) + kind.width
                 n = int(first[-1])
                 edge = np.bincount(begin, minlength=n + 1) - np.bincount(begin + size, minlength=n + 1)
                 gone = np.cumsum(edge)[:n] > 0
@@ -280,6 +331,17 @@ def _finish(kind: Kind, with_text: bool):
     return run
 
 
+def settle_by(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Write `df` bucketed by `key` in the shared folder and read it back: later joins on
+    the key leave these rows where they are and move only the other side."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    name = f"{label}_{path[-32:]}"
+    (df.write.option("path", path).option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+     .sortBy(key).saveAsTable(name))
+    return spark.table(name)
+
+
 def remove_repeats(docs: DataFrame, kind: Kind, with_text: bool = False) -> DataFrame:
     """doc_id, n_units, n_removed, n_spans, kept_sha256 of every row of (id, doc_id, text); with
     `with_text` also the removed spans (unit numbers) and the kept bytes."""
@@ -292,15 +354,19 @@ def remove_repeats(docs: DataFrame, kind: Kind, with_text: bool = False) -> Data
     touched = T.bitmap(todo.select(F.xxhash64("id").alias("h")).distinct(), "h")
     hashed = docs.select(F.xxhash64("id").alias("h"), "id", "doc_id", "text")
     maybe, never = (hashed.mapInArrow(_split(touched, side), "id long, doc_id long, text binary") for side in (True, False))
-    probed = settle(maybe.join(by_id, "id", "left").mapInArrow(
-        _probe(kind), "id long, doc_id long, text binary, covered array<long>, names array<long>, places array<long>"), "probed")
-    windows = probed.where(F.size("names") > 0).select("id", F.explode(F.arrays_zip("names", "places")).alias("w")).select(
-        F.col("w.names").alias("name"), "id", F.col("w.places").alias("place"))
-    single = windows.repartition("name").sortWithinPartitions("name", "id", "place").mapInArrow(_decide_windows(kind), "id long, place long").groupBy(
-        "id").agg(F.collect_list("place").alias("single"))
+    probed = settle_by(maybe.join(by_id, "id", "left").mapInArrow(
+        _probe(kind), "id long, doc_id long, text binary, covered array<long>, cores array<long>, spans array<long>, places array<long>"), "id", "probed")
+    cells = probed.where(F.size("places") > 0).select("id", F.explode(F.arrays_zip("cores", "spans", "places")).alias("c")).select(
+        F.col("c.cores").alias("sample"), F.col("c.spans").alias("span"), "id", F.col("c.places").alias("place"))
+    decided = settle(cells.repartition("sample").sortWithinPartitions(*order).mapInArrow(_decide_runs(kind), "id long, place long, span long, role byte"), "cells")
+    open_ = decided.where(F.col("role").bitwiseAND(F.lit(PROBE)) > 0).groupBy("id").agg(F.collect_set(F.struct("place", "span")).alias("cells"))
+    windows = probed.select("id", "text").join(open_, "id").select("id", "text", "cells").mapInArrow(_open_windows(kind), "name long, id long, place long")
+    single = windows.repartition("name").sortWithinPartitions("name", "id", "place").mapInArrow(_decide_windows(kind), "id long, place long, span long")
+    shut = decided.where((F.col("role").bitwiseAND(F.lit(COVERED)) > 0) & (F.col("place").bitwiseAND(F.lit(1)) == 1)).select(
+        "id", F.shiftright("place", 1).alias("place"), "span")
+    found = shut.unionByName(single).groupBy("id").agg(F.collect_set(F.struct("place", "span")).alias("found"))
     out = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string" + (
         ", span_starts array<long>, span_ends array<long>, kept binary" if with_text else "")
-    empty = F.array().cast("array<long>")
-    ready = never.select("id", "doc_id", "text", empty.alias("covered"), empty.alias("single"))
+    ready = never.select("id", "doc_id", "text", F.array().cast("array<long>").alias("covered"), F.array().cast("array<struct<place:bigint,span:bigint>>").alias("found"))
     return ready.mapInArrow(_finish(kind, with_text), out).unionByName(
-        probed.select("id", "doc_id", "text", "covered").join(single, "id", "left").mapInArrow(_finish(kind, with_text), out))
+        probed.select("id", "doc_id", "text", "covered").join(found, "id", "left").mapInArrow(_finish(kind, with_text), out))

@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from marketloom.llm.repeats import Kind, remove_repeats
 
 
-def drop_repeats(docs: DataFrame, width: int = 200, k: int = 40, with_text: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, width: int = 200, k: int = 100, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; `with_text` adds the
     removed spans (byte offsets) and the kept bytes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(F.xxhash64("doc_id", "text").alias("id"), "doc_id", "text")
-    out = remove_repeats(rows, Kind(width, min(k, width), False, False), with_text)
+    out = remove_repeats(rows, Kind(width, min(k, width), 12, False, False), with_text)
     return out.withColumnRenamed("n_units", "n_bytes")

@@ -12,10 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 2 << 20
+from marketloom.session import ship
+
+CHUNK = 1 << 20
 #: Word separators: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = (9, 10, 11, 12, 13, 32)
 IS_SPACE = np.isin(np.arange(256), SPACES)
@@ -24,6 +26,12 @@ SEPARATORS = " \t\n\x0b\x0c\r"
 _U = np.uint64
 
 
+def ready(spark: SparkSession) -> None:
+    """Send the package to the workers and keep Arrow batches of texts small."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finish a hash: every input bit reaches every output bit."""
     x = x ^ (x >> _U(32))
