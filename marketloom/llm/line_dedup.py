@@ -104,26 +104,31 @@ def _keys(edits: int, min_bytes: int):
                             out.append((roll.span(starts + at, starts + at + n) ^ salt, line, census, False))
                         # edits left of the segment are at most i, right of it at most edits - i
                         for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
+                            if not less and not shift:
+                                continue  # the line's own index row; index rows meet each other
                             fits = (length >= min_bytes) & (at + shift >= 0) & (at + shift + n <= size)
                             p = starts[fits] + (at + shift)[fits]
                             out.append((roll.span(p, p + n[fits]) ^ salt[fits], line[fits], census[fits], True))
                 for key, who, count, probe in out:
-                    yield pa.RecordBatch.from_arrays([pa.array(T.signed(T.mix(key))), pa.array(np.full(len(key), probe)), pa.array(T.signed(who)), pa.array(T.signed(count))],
-                                                     names=["key", "probe", "line", "census"])
+                    key = T.mix(key) & ~_U(1) | _U(probe)  # index rows of a key sort before its probes
+                    yield pa.RecordBatch.from_arrays([pa.array(T.signed(x)) for x in (key, who, count)], names=["key", "line", "census"])
 
     return run
 
 
 def _meet(edits: int, most: int = 1 << 20):
     """Pairs of lines that meet under a key and whose census allows the edits; rows come
-    sorted by key, index rows before probes."""
+    sorted by key, index rows (last bit 0) before probes. A probe meets all index rows of
+    its key, an index row those after it."""
 
-    def pairs(key, probe, line, census):
+    def pairs(key, line, census):
         new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (probe[1:] != probe[:-1]) | (line[1:] != line[:-1])  # one line from many chunks
-        key, probe, line, census = key[new], probe[new], line[new], census[new]
-        index, probes = np.flatnonzero(~probe), np.flatnonzero(probe)
-        low, high = np.searchsorted(key[index], key[probes]), np.searchsorted(key[index], key[probes], side="right")
+        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])  # one line from many chunks
+        key, line, census = key[new], line[new], census[new]
+        probe, key = (key & 1) > 0, key >> 1
+        index, probes = np.flatnonzero(~probe), np.arange(len(key))
+        low, high = np.searchsorted(key[index], key), np.searchsorted(key[index], key, side="right")
+        low = np.where(probe, low, np.searchsorted(index, probes) + 1)
         many = high - low
         probes, low, many = probes[many > 0], low[many > 0], many[many > 0]
         a = 0
@@ -142,12 +147,12 @@ def _meet(edits: int, most: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            rows = [c.to_numpy() for c in batch.columns]
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
             if not len(rows[0]):
                 continue
-            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            last = int(np.searchsorted(rows[0], rows[0][-1] & -2))
             held = [x[last:] for x in rows]
             if last:
                 yield from pairs(*(x[:last] for x in rows))
@@ -249,8 +254,8 @@ def _verify(edits: int):
 
 def near_pairs(docs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
     """Pairs a < b of line names within `edits` edits of each other, of (id, text) rows."""
-    keys = docs.mapInArrow(_keys(edits, min_bytes), "key long, probe boolean, line long, census long")
-    met = settle(keys.repartition("key").sortWithinPartitions("key", "probe", "line").mapInArrow(_meet(edits), "a long, b long").distinct(), "met")
+    keys = docs.mapInArrow(_keys(edits, min_bytes), "key long, line long, census long")
+    met = settle(keys.repartition(F.shiftright("key", 1)).sortWithinPartitions("key", "line").mapInArrow(_meet(edits), "a long, b long").distinct(), "met")
     names = met.select(F.explode(F.array("a", "b")).alias("line")).distinct()
     spelled = docs.mapInArrow(_chosen(T.bitmap(names, "line")), "line long, bytes binary").join(names, "line", "left_semi").groupBy("line").agg(F.min("bytes").alias("bytes"))
     spelled = settle(spelled, "lines")
