@@ -14,8 +14,9 @@ Relations between sets let most of each list be skipped:
   group need not be computed again, since the group already has the link. Whatever is
   not skipped is verified, so no link between groups is lost.
 
-Pairs are first compared by a 1024-bit parity sketch, whose Hamming distance bounds the
-symmetric difference from below, then by their sets. Groups are the connected
+Pairs are first compared by parity sketches, whose Hamming distance bounds the symmetric
+difference from below: one of 1024 bits, then one of at least four bits a token. Only
+what both allow is compared by its sets. Groups are the connected
 components, by repeated minimum labels with pointer jumping.
 
 A-Z count as a-z. A text of fewer words than a shingle has its whole sequence as one;
@@ -104,19 +105,22 @@ def _members(n: int):
 
 def _frequent(members: DataFrame) -> np.ndarray:
     """Bitmap of the token buckets counted far above the mean; 2**SKETCH_BITS bits."""
+    mean = (members.agg(F.sum("n")).first()[0] or 0) / (1 << SKETCH_BITS)
+    much = mean + 6 * mean**0.5 + 8
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 totals.setdefault(block, np.zeros(1 << BLOCK_BITS, np.int64))[:] += np.frombuffer(x.as_buffer(), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], names=["block", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([np.packbits(x > much).tobytes() for x in totals.values()], pa.binary())], names=["block", "often"])
 
-    rows = members.where("block is not null").select("block", "counts").repartition("block").mapInArrow(add, "block int, total binary").toArrow()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for block, total in zip(rows["block"].to_pylist(), rows["total"].to_pylist(), strict=True):
-        out[block << BLOCK_BITS:(block + 1) << BLOCK_BITS] = np.frombuffer(total, np.int64)
-    mean = out.mean()
-    return np.packbits(out > mean + 6 * np.sqrt(mean) + 8)
+    rows = members.where("block is not null").select("block", "counts").repartition("block").mapInArrow(add, "block int, often binary").toArrow()
+    out = np.zeros(1 << SKETCH_BITS >> 3, np.uint8)
+    step = 1 << BLOCK_BITS >> 3
+    for block, often in zip(rows["block"].to_pylist(), rows["often"].to_pylist(), strict=True):
+        out[block * step:(block + 1) * step] = np.frombuffer(often, np.uint8)
+    return out
 
 
 def _ordered(token: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -221,14 +225,20 @@ def _between_groups(percent: int, most: int = 1 << 20):
     return _by_token(handle, 4)
 
 
+def _apart(x: bytes, y: bytes) -> int:
+    """Hamming distance of two sketches; the longer is folded to the shorter's size."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _parity_allows(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = batch.num_rows
-            if not m:
-                continue
-            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(m, -1) for i in (2, 3))
-            apart = np.bitwise_count(one ^ two).sum(axis=1).astype(np.int64)
+            apart = np.array([_apart(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], np.int64)
             total = batch.column(4).to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(
                 pa.array((100 + percent) * apart <= (100 - percent) * total))
@@ -236,15 +246,24 @@ def _parity_allows(percent: int):
     return run
 
 
+def _wide(token: np.ndarray) -> bytes:
+    bits = 1 << max(10, (4 * len(token) - 1).bit_length())
+    odd = np.bincount((token & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _sets_of(n: int, wanted: np.ndarray):
+    """Sets of the texts (key, text) whose key is in the bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(T.in_bitmap(batch.column(0).to_numpy(), wanted)))
             for _, _, data, offsets in T.chunks(batch):
                 token, bounds = shingle_sets(data, offsets, n)
                 node, one = np.unique(node_of(token, bounds), return_index=True)
-                keep = T.in_bitmap(node, wanted)
+                sets = [token[bounds[i]:bounds[i + 1]] for i in one.tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(T.signed(node[keep])), pa.array([token[bounds[i]:bounds[i + 1]].tobytes() for i in one[keep].tolist()], pa.binary())], names=["node", "tokens"])
+                    [pa.array(T.signed(node)), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([_wide(x) for x in sets], pa.binary())], names=["node", "tokens", "wide"])
 
     return run
 
@@ -263,17 +282,22 @@ def _verify(percent: int):
     return run
 
 
+def _with_both(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
+    """a, b, x, y and the sum of sizes: `column` of both nodes of each pair."""
+    one, two = (nodes.select(F.col("node").alias(end), F.col(column).alias(v), F.col("n").alias(f"n{v}")) for end, v in (("a", "x"), ("b", "y")))
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y", F.col("nx") + F.col("ny"))
+
+
 def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that reach the threshold."""
-    one = nodes.select(F.col("node").alias("a"), F.col("parity").alias("x"), F.col("n").alias("nx"))
-    two = nodes.select(F.col("node").alias("b"), F.col("parity").alias("y"), F.col("n").alias("ny"))
-    likely = settle(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", F.col("nx") + F.col("ny")).mapInArrow(
-        _parity_allows(percent), "a long, b long"), "likely")
+    allow = _parity_allows(percent)
+    likely = settle(_with_both(pairs, nodes, "parity").mapInArrow(allow, "a long, b long"), "likely")
     wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = docs.select("text").mapInArrow(_sets_of(n, T.bitmap(wanted, "node")), "node long, tokens binary")
-    sets = settle(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    return settle(likely.join(sets.withColumnsRenamed({"node": "a", "tokens": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "tokens": "y"}), "b").select(
-        "a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "links")
+    keys = T.bitmap(nodes.join(wanted, "node", "left_semi"), "key")
+    sets = docs.select("key", "text").mapInArrow(_sets_of(n, keys), "node long, tokens binary, wide binary")
+    sets = settle(sets.dropDuplicates(["node"]).join(wanted, "node", "left_semi").withColumn("n", F.octet_length("tokens").cast("long")), "sets")
+    sure = settle(_with_both(likely, sets.withColumn("n", F.shiftright("n", 3)), "wide").mapInArrow(allow, "a long, b long"), "sure")
+    return settle(_with_both(sure, sets, "tokens").mapInArrow(_verify(percent), "a long, b long"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -298,7 +322,7 @@ def join_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     found = settle(docs.mapInArrow(_members(n), "doc_id long, key long, node long, n long, parity binary, block int, counts binary"), "members")
     frequent = _frequent(found)
     members = found.where("block is null").select("doc_id", "key", "node", "n", "parity")
-    nodes = members.where("n > 0").dropDuplicates(["node"])
+    nodes = settle(members.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("parity").alias("parity")), "nodes")
     prefixes = docs.select("text").mapInArrow(_prefixes(n, percent, frequent), "token long, node long, place long")
     lists = settle(prefixes.select("token", "place", "node").repartition("token").sortWithinPartitions("token", "place", "node").mapInArrow(
         _by_token(_lists, 3), "token long, node long, place long, lead long, lead_place long"), "lists")
