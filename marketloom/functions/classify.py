@@ -11,10 +11,10 @@ FEEDS = ("us", "crypto", "forex")
 SNAPSHOT_SUFFIX = {"us": ".US", "crypto": ".CC", "forex": ".FOREX"}
 FEED_BY_SUFFIX = {"US": "us", "CC": "crypto", "FOREX": "forex"}
 #: Currencies on the forex feed (fixed values).
-CURRENCIES = ("USD EUR GBP JPY CHF AUD NZD CAD SEK NOK DKK PLN CZK HUF TRY ZAR MXN SGD HKD CNH "
-              "ILS THB KRW INR BRL").split()
+CURRENCIES = ("USD", "EUR", "GBP", "JPY", "CHF", "AUD", "NZD", "CAD", "SEK", "NOK", "DKK", "PLN", "CZK", "HUF", "TRY", "ZAR", "MXN",
+              "SGD", "HKD", "CNH", "ILS", "THB", "KRW", "INR", "BRL")
 #: What a hyphenated symbol ends with to be crypto (fixed values).
-CRYPTO_QUOTES = "USD USDT USDC EUR BTC ETH GBP JPY".split()
+CRYPTO_QUOTES = ("USD", "USDT", "USDC", "EUR", "BTC", "ETH", "GBP", "JPY")
 
 
 def clean(symbol: Column) -> Column:
@@ -31,9 +31,9 @@ def feed_of(symbol: Column) -> Column:
     by_suffix = F.lit(UNSUPPORTED)
     for suffix, feed in FEED_BY_SUFFIX.items():
         by_suffix = F.when(_tail(s, ".") == suffix, feed).otherwise(by_suffix)
-    pair = ((F.length(s) == 6) & F.substring(s, 1, 3).isin(CURRENCIES) & F.substring(s, 4, 3).isin(CURRENCIES))
+    pair = ((F.length(s) == 6) & F.substring(s, 1, 3).isin(*CURRENCIES) & F.substring(s, 4, 3).isin(*CURRENCIES))
     return (F.when(F.contains(s, F.lit(".")), by_suffix)
-            .when(F.contains(s, F.lit("-")) & _tail(s, "-").isin(CRYPTO_QUOTES), "crypto")
+            .when(F.contains(s, F.lit("-")) & _tail(s, "-").isin(*CRYPTO_QUOTES), "crypto")
             .when(pair, "forex").otherwise("us"))
 
 

@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 #: Spellings of each unit (fixed values).
 SPELLINGS = {
-    "s": "s sec secs second seconds",
-    "m": "m min mins minute minutes t",
-    "h": "h hr hour hours",
-    "d": "d day days",
-    "w": "w wk week weeks",
-    "mo": "mo mon month months mth",
+    "s": ("s", "sec", "secs", "second", "seconds"),
+    "m": ("m", "min", "mins", "minute", "minutes", "t"),
+    "h": ("h", "hr", "hour", "hours"),
+    "d": ("d", "day", "days"),
+    "w": ("w", "wk", "week", "weeks"),
+    "mo": ("mo", "mon", "month", "months", "mth"),
 }
-_UNITS = {word: unit for unit, words in SPELLINGS.items() for word in words.split()}
+_UNITS = {word: unit for unit, words in SPELLINGS.items() for word in words}
 _SHAPE = re.compile(r"^(\d*)\s*([a-zA-Z]+)$")
 
 

@@ -45,7 +45,8 @@ def predicate(df: DataFrame, spec: dict) -> Column:
 
 
 def preview(df: DataFrame, columns: list[str] | None = None, filters: list[dict] | None = None,
-            sort: list[dict] | None = None, limit: int = 1000) -> DataFrame:
+            sort: list[dict] | None = None, limit: int | None = None) -> DataFrame:
+    """The described rows; all of them unless a limit is asked for."""
     for spec in [*(filters or []), *(sort or [])]:
         if not isinstance(spec, dict):
             raise ValueError("filters and sorts are objects")
@@ -62,12 +63,18 @@ def preview(df: DataFrame, columns: list[str] | None = None, filters: list[dict]
         out = out.orderBy(*orders)
     if columns:
         out = out.select(*[_column(df, c) for c in columns])
-    return out.limit(max(1, min(limit, 10_000)))
+    return _at_most(out, limit)
+
+
+def _at_most(df: DataFrame, limit: int | None) -> DataFrame:
+    if limit is not None and limit < 1:
+        raise ValueError(f"a limit of {limit} rows")
+    return df if limit is None else df.limit(limit)
 
 
 def select_ticks(df: DataFrame, symbol: str | None = None, start: str | None = None, end: str | None = None,
-                 limit: int = 1000) -> DataFrame:
-    """Optional symbol and time bounds on whatever columns hold them, capped."""
+                 limit: int | None = None) -> DataFrame:
+    """Optional symbol and time bounds on whatever columns hold them; with a limit, the oldest rows."""
     from marketloom.sources.schema import temporal_columns
 
     name = next((c for c in ("sym", "symbol") if c in df.columns), None)
@@ -78,4 +85,4 @@ def select_ticks(df: DataFrame, symbol: str | None = None, start: str | None = N
         df = df.filter(F.col(time) >= F.lit(start).cast("timestamp"))
     if time and end:
         df = df.filter(F.col(time) <= F.lit(end).cast("timestamp"))
-    return df.limit(max(1, min(limit, 10_000)))
+    return _at_most(df.orderBy(time) if limit is not None and time else df, limit)

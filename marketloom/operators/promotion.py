@@ -14,16 +14,14 @@ KEYS = {"prices_normalized": ("listing_id", "market_date"),
 #: Provider holiday type to market effect; anything else closes (fixed values).
 EFFECTS = {"official": "closed", "closed": "closed", "early_close": "early_close",
            "half_day": "early_close", "late_open": "late_open"}
-#: Bytes of a payload kept at landing, and stages that end a job (fixed values).
-MAX_PAYLOAD = 2_000_000
+#: Stages that end a job (fixed values).
 TERMINAL = ("partial", "rate_limited", "entitlement_denied", "validation_failed", "cancel_pending",
             "cancelled", "failed", "gold_ready")
 
 
 def land(payloads: DataFrame) -> DataFrame:
-    """Captured responses with their content hash, truncated, before any use."""
-    return payloads.withColumns({"content_hash": F.sha2("payload", 256), "bytes": F.octet_length("payload")}).withColumn(
-        "payload", F.substring("payload", 1, MAX_PAYLOAD))
+    """Captured responses, whole, with the hash and size of what is kept."""
+    return payloads.withColumns({"content_hash": F.sha2("payload", 256), "bytes": F.octet_length("payload")})
 
 
 def fingerprint(*columns: str, chars: int = 24) -> Column:

@@ -193,7 +193,7 @@ PROFILE_INDICATORS = {
     "cpi_yoy": "inflation_consumer_prices_annual", "jobless_rate": "unemployment_total_percent",
     "govt_debt_gdp": "debt_percent_gdp",
 }
-ASSETS = "https://eodhd.com"
+ASSETS = "https://assets.example.com"
 
 # --- reading ---------------------------------------------------------------------------------
 
@@ -587,10 +587,12 @@ def yield_curve(rates: DataFrame, wanted: DataFrame) -> DataFrame:
             .filter("rate is not null"))
 
 
-def trailing_yield(bars: DataFrame, paid: DataFrame, limit: int = 252) -> DataFrame:
-    """Dividends of the last 365 days over close, the newest `limit` rows per symbol."""
+def trailing_yield(bars: DataFrame, paid: DataFrame, limit: int | None = None) -> DataFrame:
+    """Dividends of the last 365 days over close; with a limit, the newest rows per symbol."""
     from marketloom.operators.topk import newest
 
     priced = bars.filter("close <> 0")
     out = asof.trailing_sum(priced, paid, 365).withColumn("trailing_dividend_yield", F.col("trailing") / F.col("close"))
-    return newest(out, limit, ("symbol",), (F.col("date").desc(),)).select("symbol", "date", "trailing_dividend_yield")
+    if limit is not None:
+        out = newest(out, limit, ("symbol",), (F.col("date").desc(),))
+    return out.select("symbol", "date", "trailing_dividend_yield")

@@ -160,9 +160,9 @@ def equity_info(silver: Silver, ctx: Context) -> DataFrame:
 #: How each output of the calendar falls back over market, holiday and session
 #: evidence, in that order of trust (fixed values).
 _EVIDENCE = {
-    "authority_type": "mh", "authority_name": "mh", "authority_verified_at": "mh",
-    "supersedes_assertion_id": "mh", "source_version": "mhs", "rule_id": "mhs", "effective_from": "mhs",
-    "effective_to": "mhs", "capture_id": "mhs", "market_open": "ms", "market_close": "ms",
+    "authority_type": ("m", "h"), "authority_name": ("m", "h"), "authority_verified_at": ("m", "h"),
+    "supersedes_assertion_id": ("m", "h"), "source_version": ("m", "h", "s"), "rule_id": ("m", "h", "s"), "effective_from": ("m", "h", "s"),
+    "effective_to": ("m", "h", "s"), "capture_id": ("m", "h", "s"), "market_open": ("m", "s"), "market_close": ("m", "s"),
 }
 _SPECIAL = ("early_close", "late_open", "special_session")
 
@@ -197,7 +197,7 @@ def market_calendar(silver: Silver, ctx: Context) -> DataFrame:
               .when(effect == "interrupted", "interrupted").when(effect.isNull() & has_h, "unknown")
               .when((effect == "open") | (effect == "none") | has_s, "open").otherwise("unknown"))
 
-    def first(name: str, order: str, default: Column | None = None) -> Column:
+    def first(name: str, order: tuple[str, ...], default: Column | None = None) -> Column:
         found = [F.col(f"{x}.{name}") for x in order]
         return F.coalesce(*found, *([default] if default is not None else []))
 
@@ -205,17 +205,17 @@ def market_calendar(silver: Silver, ctx: Context) -> DataFrame:
         "calendar_id", "exchange_id", "exchange_name", "mic", "calendar_alias", "session_date",
         F.coalesce("s.trade_date", "session_date").alias("trade_date"), "timezone",
         status.alias("session_status"),
-        first("calendar_system", "hm", F.lit("gregorian")).alias("calendar_system"),
+        first("calendar_system", ("h", "m"), F.lit("gregorian")).alias("calendar_system"),
         F.col("h.holiday_family").alias("holiday_family"),
         F.when(has_m, "market_session").when(has_h, "holiday_date").alias("assertion_domain"),
-        first("evidence_status", "mh", F.lit("estimated")).alias("evidence_status"),
+        first("evidence_status", ("m", "h"), F.lit("estimated")).alias("evidence_status"),
         F.col("s.break_start").alias("break_start"), F.col("s.break_end").alias("break_end"),
         F.col("h.holiday_name").alias("holiday_name"),
         F.coalesce("m.special_open", F.lit(False)).alias("special_open"),
         F.coalesce("m.special_close", F.lit(False)).alias("special_close"),
         F.coalesce(effect, F.when(has_h, "pending").otherwise("none")).alias("market_effect"),
-        first("source_kind", "mh", F.lit("pandas_rule")).alias("source_kind"),
-        first("available_at", "mhs").alias("known_from"), first("system_to", "mhs").alias("known_to"),
+        first("source_kind", ("m", "h"), F.lit("pandas_rule")).alias("source_kind"),
+        first("available_at", ("m", "h", "s")).alias("known_from"), first("system_to", ("m", "h", "s")).alias("known_to"),
         *[first(n, order).alias(n) for n, order in _EVIDENCE.items()],
         F.col("h.assertion_id").alias("holiday_assertion_id"),
         F.col("m.assertion_id").alias("market_assertion_id"),

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most rows one read hands out (fixed value).
-MAX_ROWS = 10_000
-
+from marketloom.session import settle
 
 def newest(df: DataFrame, n: int, keys: tuple[str, ...] = ("sym",), order: tuple[Column, ...] | None = None) -> DataFrame:
     """The n newest rows per key, ranked from 1; none for n <= 0.
@@ -30,7 +28,7 @@ def latest_tick(ticks: DataFrame, keys: tuple[str, ...] = ("sym",)) -> DataFrame
 
 def capped(df: DataFrame, max_rows: int, order: list[Column]) -> DataFrame:
     """At most `max_rows` rows in order, each told whether rows were left out."""
-    n = max(1, min(max_rows, MAX_ROWS))
+    n = _rows(max_rows)
     top = df.orderBy(*order).limit(n + 1)
     # n + 1 rows at most reach this unpartitioned window.
     w = Window.partitionBy(F.lit(1))
@@ -40,7 +38,25 @@ def capped(df: DataFrame, max_rows: int, order: list[Column]) -> DataFrame:
 
 
 def page(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
-    return df.orderBy(*order).offset(max(offset, 0)).limit(max(1, min(size, MAX_ROWS)))
+    return df.orderBy(*order).offset(max(offset, 0)).limit(_rows(size))
+
+
+def _rows(n: int) -> int:
+    if n < 1:
+        raise ValueError(f"{n} rows asked for")
+    return n
+
+
+def placed(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """The place of every row in a total order, from 1. The sorted rows are written once;
+    the few rows that count each sorted part say how many lie before it."""
+    rows = settle(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "placed")
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = rows.withColumn("_part", part)
+    sizes = rows.groupBy("_part").agg((F.max("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("_n"))
+    w = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    return rows.join(before, "_part").withColumn(name, within + F.col("_before") + 1).drop("_at", "_part", "_before")
 
 
 def by_weight(df: DataFrame, weight: str, *ties: str) -> DataFrame:
@@ -49,5 +65,5 @@ def by_weight(df: DataFrame, weight: str, *ties: str) -> DataFrame:
 
 
 def universe_order(df: DataFrame, cap: str = "cap", code: str = "code") -> DataFrame:
-    """Known caps first, largest first, then by code."""
-    return df.orderBy(F.col(cap).isNull(), F.col(cap).desc(), F.col(code))
+    """Every row with its place: known caps first, largest first, then by code."""
+    return placed(df, [F.col(cap).isNull(), F.col(cap).desc(), F.col(code)])

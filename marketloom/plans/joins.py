@@ -204,12 +204,8 @@ def paged_rows(spark, sf):
 
 
 @query("universe_order", """WITH m AS (SELECT c_name AS code, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS cap FROM customer)
-    SELECT row_number() OVER (ORDER BY cap IS NULL, cap DESC, code) AS place, code, cap FROM m
-    ORDER BY place LIMIT 200""")
+    SELECT row_number() OVER (ORDER BY cap IS NULL, cap DESC, code) AS place, code, cap FROM m""")
 def universe_order(spark, sf):
     m = views.table(spark, sf, "customer").select(
         F.col("c_name").alias("code"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("cap"))
-    top = topk.universe_order(m).limit(200)
-    from pyspark.sql import Window
-    w = Window.orderBy(F.col("cap").isNull(), F.col("cap").desc(), "code")
-    return top.withColumn("place", F.row_number().over(w))
+    return topk.universe_order(m)

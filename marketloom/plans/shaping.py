@@ -362,15 +362,23 @@ def ref_yield_curve(spark, sf):
     return out.withColumn("rate", F.round("rate", 6))
 
 
-@query("ref_trailing_yield", """WITH paid AS (SELECT o_orderpriority AS symbol, o_orderdate AS date, sum(o_totalprice) / 99991.0 AS amount FROM orders WHERE o_orderstatus = 'P' GROUP BY 1, 2),
+_YIELD = """WITH paid AS (SELECT o_orderpriority AS symbol, o_orderdate AS date, sum(o_totalprice) / 99991.0 AS amount FROM orders WHERE o_orderstatus = 'P' GROUP BY 1, 2),
     u AS (SELECT symbol, date, close, 0.0 AS amount, 1 AS bar FROM daily_bars UNION ALL SELECT symbol, date, NULL, amount, 0 FROM paid),
     s AS (SELECT *, sum(amount) OVER (PARTITION BY symbol ORDER BY date RANGE BETWEEN INTERVAL 364 DAYS PRECEDING AND CURRENT ROW) AS t FROM u)
-    SELECT symbol, date, round(t / close, 4) AS trailing_dividend_yield FROM s WHERE bar = 1
-    QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 252""", ("daily_bars",))
-def ref_trailing_yield(spark, sf):
+    SELECT symbol, date, round(t / close, 4) AS trailing_dividend_yield FROM s WHERE bar = 1"""
+
+
+@query("ref_trailing_yield", _YIELD + " QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 252", ("daily_bars",))
+def ref_trailing_yield(spark, sf, limit=252):
     paid = (views.table(spark, sf, "orders").filter("o_orderstatus = 'P'").groupBy(F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("date"))
             .agg((F.sum("o_totalprice") / F.lit(99991.0)).alias("amount")))
-    return sh.trailing_yield(views.daily_bars(spark, sf), paid).withColumn("trailing_dividend_yield", F.round("trailing_dividend_yield", 4))
+    return sh.trailing_yield(views.daily_bars(spark, sf), paid, limit).withColumn("trailing_dividend_yield", F.round("trailing_dividend_yield", 4))
+
+
+@query("ref_trailing_yield_all", _YIELD, ("daily_bars",))
+def ref_trailing_yield_all(spark, sf):
+    return ref_trailing_yield(spark, sf, None)
+
 
 
 @query("fx_mid_and_change", """SELECT o_orderkey, round(coalesce((bid + ask) / 2, bid, ask), 4) AS mid, round((ask - bid) / nullif(bid, 0), 6) AS change_percent,

@@ -23,7 +23,7 @@ def sql_preview(spark, sf):
         [{"field": "o_custkey", "direction": "desc"}, {"field": "o_orderkey"}], 500)
 
 
-@query("sql_preview_text", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE 'small%' AND p_brand <> 'Brand#2' AND p_size < 40 ORDER BY p_partkey LIMIT 1000")
+@query("sql_preview_text", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE 'small%' AND p_brand <> 'Brand#2' AND p_size < 40")
 def sql_preview_text(spark, sf):
     return preview.preview(views.table(spark, sf, "part"), ["p_partkey", "p_name"],
                            [{"field": "p_name", "operator": "starts_with", "value": "SMALL"}, {"field": "p_brand", "operator": "ne", "value": "Brand#2"},
@@ -32,7 +32,7 @@ def sql_preview_text(spark, sf):
 
 @query("tick_select", "SELECT count(*) AS n, min(time) AS first, max(time) AS last FROM (SELECT * FROM ticks WHERE sym = 'click' AND time >= TIMESTAMP '2024-01-10' AND time <= TIMESTAMP '2024-01-12')", ("ticks",))
 def tick_select(spark, sf):
-    out = preview.select_ticks(views.ticks(spark, sf), "click", "2024-01-10", "2024-01-12", 10_000)
+    out = preview.select_ticks(views.ticks(spark, sf), "click", "2024-01-10", "2024-01-12")
     return out.agg(F.count("*").alias("n"), F.min("time").alias("first"), F.max("time").alias("last"))
 
 

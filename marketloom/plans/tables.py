@@ -137,10 +137,11 @@ def src_tick_files(spark, sf):
     return tk.trades(tk.sound_files(tk.read(spark, path))).drop("file")
 
 
-@query("src_reference_bars", """SELECT symbol, date + INTERVAL '5 hours' AS date, open, high, low, close, volume FROM daily_bars
-    WHERE month(date) IN (1, 2, 12)""", ("daily_bars",))
+@query("src_reference_bars", """WITH d AS (SELECT *, make_date(year(date), 4, 1) AS a, make_date(year(date), 10, 31) AS o FROM daily_bars)
+    SELECT symbol, date + CASE WHEN date > a + INTERVAL 1 DAY * ((7 - dayofweek(a)) % 7) AND date <= o - INTERVAL 1 DAY * dayofweek(o)
+      THEN INTERVAL '4 hours' ELSE INTERVAL '5 hours' END AS date, open, high, low, close, volume FROM d""", ("daily_bars",))
 def src_reference_bars(spark, sf):
-    raw = views.daily_bars(spark, sf).filter(F.month("date").isin(1, 2, 12)).select(
+    raw = views.daily_bars(spark, sf).select(
         "symbol", F.col("date").alias("Datetime"), *[F.col(c).alias(c.title()) for c in ("open", "high", "low", "close", "volume")])
     names = {c.title(): c for c in ("open", "high", "low", "close", "volume")}
     return tk.reference_bars(raw, {**names, "Datetime": "date"}, tk.ZONE, "Datetime")

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from marketloom.functions import classify, dialect, preview
 from marketloom.functions import requests as rq
 from marketloom.functions import scalar as x
-from marketloom.operators import bars, etl, quality, sessions
+from marketloom.operators import bars, etl, promotion, quality, sessions, topk
 from marketloom.sources import schema as sc
 from marketloom.sources import store as st
 from marketloom.sources import ticks as tk
@@ -200,3 +200,23 @@ def test_landing_receipts_and_counts(spark, tmp_path):
     watched, counts = quality.observed(df, "checks", missing=F.col("weight").isNull())
     watched.write.mode("overwrite").parquet(str(tmp_path / "w"))
     assert counts.get == {"rows": 3, "missing": 1}
+
+
+def test_landing_keeps_long_bodies_whole(spark):
+    body = '{"results": [' + ", ".join(f'{{"date": "2024-01-{i % 28 + 1:02d}", "close": "{i}"}}' for i in range(60_000)) + "]}"
+    assert len(body) > 2_000_000
+    landed = promotion.land(spark.createDataFrame([("l", "c", body)], "listing_id string, capture_id string, payload string"))
+    assert landed.selectExpr("payload = '' or bytes = length(payload) as whole").first().whole
+    rows = promotion.daily_prices(landed.withColumn("observed_at", F.lit("2024-02-01").cast("timestamp")))
+    assert rows.count() == 60_000
+
+
+def test_limits_are_honoured_or_refused(spark):
+    many = spark.range(25_000)
+    assert preview.preview(many).count() == 25_000 and preview.preview(many, limit=20_000).count() == 20_000
+    assert topk.capped(many, 20_000, [F.col("id")]).count() == 20_000
+    for refused in (lambda: preview.preview(many, limit=0), lambda: topk.page(many, [F.col("id")], 0, 0)):
+        with pytest.raises(ValueError):
+            refused()
+    placed = topk.placed(many.repartition(7), [F.col("id").desc()])
+    assert placed.where(F.col("place") + F.col("id") != 25_000).count() == 0
