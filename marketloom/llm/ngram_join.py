@@ -8,15 +8,15 @@ sets must share one, and inverted lists over prefixes are sorted by set size.
 Relations between sets let most of each list be skipped:
 * index level: a list is read in the block of sizes that can reach the threshold, and
   inside it entries are skipped by what their positions leave of both sets;
-* answer level: each list first yields its members' pairs with its smallest set only.
-  Their verified links group the highly similar sets; a second reading then takes, of
+* answer level: each list first yields its members' pairs with its most central set and
+  with one set each at random. Their verified links group the highly similar sets; a second reading then takes, of
   each list, the pairs between different groups alone: what a set shares with its own
   group need not be computed again, since the group already has the link. Whatever is
   not skipped is verified, so no link between groups is lost.
 
 Pairs are first compared by parity sketches, whose Hamming distance bounds the symmetric
-difference from below: one of 1024 bits, then one of at least four bits a token. Only
-what both allow is compared by its sets. Groups are the connected
+difference from below: one of 512 bits that travels with the lists, then one of at least
+four bits a token. Only what both allow is compared by its sets. Groups are the connected
 components, by repeated minimum labels with pointer jumping.
 
 A-Z count as a-z. A text of fewer words than a shingle has its whole sequence as one;
@@ -39,7 +39,8 @@ from marketloom.session import settle
 _U = np.uint64
 SKETCH_BITS = 22
 BLOCK_BITS = 12
-PARITY_BITS = 1024
+PARITY_BITS = 512
+PARITY = tuple(f"p{i}" for i in range(PARITY_BITS // 64))
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 
 
@@ -67,10 +68,11 @@ def node_of(token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _parity(token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A row of words for each set: whether it has an odd number of tokens in each cell."""
     sets = len(bounds) - 1
-    cell = T.owners(np.diff(bounds)) * PARITY_BITS + (token >> _U(53)).astype(np.int64)
+    cell = T.owners(np.diff(bounds)) * PARITY_BITS + (token & _U(PARITY_BITS - 1)).astype(np.int64)
     odd = (np.bincount(cell, minlength=sets * PARITY_BITS) & 1).astype(np.uint8).reshape(sets, PARITY_BITS)
-    return np.packbits(odd, axis=1)
+    return np.packbits(odd, axis=1).view(np.int64)
 
 
 def _members(n: int):
@@ -78,7 +80,7 @@ def _members(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["doc_id", "key", "node", "n", "parity", "block", "counts"]
+        names = ["doc_id", "key", "node", "n", *PARITY, "block", "counts"]
         seen = False
         for batch in batches:
             for a, b, data, offsets in T.chunks(batch):
@@ -92,12 +94,12 @@ def _members(n: int):
                     parity = _parity(own, part - part[0])
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).slice(c, d - c), batch.column(1).slice(c, d - c), pa.array(T.signed(node_of(own, part - part[0]))), pa.array(np.diff(part)),
-                         pa.array([x.tobytes() for x in parity], pa.binary()), pa.nulls(d - c, pa.int32()), pa.nulls(d - c, pa.binary())], names=names)
+                         *(pa.array(np.ascontiguousarray(x)) for x in parity.T), pa.nulls(d - c, pa.int32()), pa.nulls(d - c, pa.binary())], names=names)
         if seen:
             blocks = np.minimum(counts, 255).astype(np.uint8).reshape(-1, 1 << BLOCK_BITS)
             m = len(blocks)
             yield pa.RecordBatch.from_arrays(
-                [*(pa.nulls(m, pa.int64()) for _ in range(4)), pa.nulls(m, pa.binary()),
+                [*(pa.nulls(m, pa.int64()) for _ in range(4 + len(PARITY))),
                  pa.array(np.arange(m), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], names=names)
 
     return run
@@ -141,10 +143,10 @@ def _prefixes(n: int, percent: int, frequent: np.ndarray):
                 size = np.diff(bounds)[one]
                 one, node, size = one[size > 0], node[size > 0], size[size > 0]
                 prefix = size - (percent * size + 99) // 100 + 1
-                at = T.spread(bounds[one], prefix)
-                of = T.owners(prefix)
+                at, of, rank = T.spread(bounds[one], prefix), T.owners(prefix), T.within(prefix)
+                before = np.where(rank > 0, token[at - 1], _U(0))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(T.signed(token[at])), pa.array(T.signed(node[of])), pa.array(size[of] << 32 | T.within(prefix))], names=["token", "node", "place"])
+                    [pa.array(x) for x in (T.signed(token[at]), T.signed(node[of]), size[of] << 32 | rank, T.signed(before))], names=["token", "node", "place", "before"])
 
     return run
 
@@ -169,17 +171,24 @@ def _by_token(handle, columns: int):
 
 
 def _lists(rows):
-    """Lists of two sets or more, each row with the smallest set of its list."""
-    token, place, node = rows
+    """Lists of two sets or more. Each row has its list's lead, the set with the fewest rarer
+    tokens before this one, which of a group of near copies is the most central, and the
+    set that follows it in an order of the list's own."""
+    token, place, node, before = rows
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1]) | (place[1:] != place[:-1])  # one set from many chunks
-    token, place, node = token[new], place[new], node[new]
+    token, place, node, before = token[new], place[new], node[new], before[new]
     first = np.ones(len(token), bool)
     first[1:] = token[1:] != token[:-1]
     group = np.cumsum(first) - 1
-    lead = np.flatnonzero(first)[group]
-    many = (np.bincount(group) > 1)[group]
-    yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (token, node, place, node[lead], place[lead])], names=["token", "node", "place", "lead", "lead_place"])
+    begin, size = np.flatnonzero(first), np.bincount(group)
+    lead = np.lexsort((node, place & 0xFFFFFFFF, group))[begin][group]
+    own = np.lexsort((T.mix((node ^ token).view(_U)), group))
+    follows = np.empty(len(own), np.int64)
+    follows[own] = own[begin[group] + (T.within(size) + 1) % size[group]]
+    many = size[group] > 1
+    yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (token, node, place, before, node[lead], node[follows])],
+                                     names=["token", "node", "place", "before", "lead", "follows"])
 
 
 def _can_link(pa_, pb, percent: int) -> np.ndarray:
@@ -193,13 +202,14 @@ def _between_groups(percent: int, most: int = 1 << 20):
     """Pairs of a list whose sets lie in different groups; rows sorted by token and size."""
 
     def handle(rows):
-        token, place, node, label = rows
+        token, place, node, label, before, *parity = rows
         first = np.ones(len(token), bool)
         first[1:] = token[1:] != token[:-1]
         group = np.cumsum(first) - 1
         begin = np.flatnonzero(first)
         mixed = (np.minimum.reduceat(label, begin) != np.maximum.reduceat(label, begin))[group]
-        token, place, node, label, group = token[mixed], place[mixed], node[mixed], label[mixed], group[mixed]
+        token, place, node, label, before, group = token[mixed], place[mixed], node[mixed], label[mixed], before[mixed], group[mixed]
+        parity = [p[mixed] for p in parity]
         if not len(token):
             return
         size = place >> 32
@@ -213,16 +223,20 @@ def _between_groups(percent: int, most: int = 1 << 20):
         while a < len(at):
             b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, side="right")))
             x, y = np.repeat(at[a:b], many[a:b]), T.spread(at[a:b] + 1, many[a:b])
-            ok = (label[x] != label[y]) & (node[x] != node[y])
+            # with one token before it in both sets, the pair has met in that token's list
+            ok = (label[x] != label[y]) & (node[x] != node[y]) & ((before[x] != before[y]) | (before[x] == 0))
             x, y = x[ok], y[ok]
             ok = _can_link(place[x], place[y], percent)
+            x, y = x[ok], y[ok]
+            apart = sum(np.bitwise_count((p[x] ^ p[y]).view(_U)).astype(np.int64) for p in parity)
+            ok = (100 + percent) * apart <= (100 - percent) * ((place[x] >> 32) + (place[y] >> 32))
             one, two = node[x[ok]], node[y[ok]]
             if len(one):
                 both = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
             a = b
 
-    return _by_token(handle, 4)
+    return _by_token(handle, 5 + len(PARITY))
 
 
 def _apart(x: bytes, y: bytes) -> int:
@@ -282,6 +296,13 @@ def _verify(percent: int):
     return run
 
 
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that the short sketch allows."""
+    one, two = (nodes.select(F.col("node").alias(end), F.struct("n", *PARITY).alias(f"at_{end}")) for end in "ab")
+    apart = sum((F.bit_count(F.col(f"at_a.{p}").bitwiseXOR(F.col(f"at_b.{p}"))) for p in PARITY), F.lit(0))
+    return pairs.join(one, "a").join(two, "b").where((100 + percent) * apart <= (100 - percent) * (F.col("at_a.n") + F.col("at_b.n"))).select("a", "b")
+
+
 def _with_both(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
     """a, b, x, y and the sum of sizes: `column` of both nodes of each pair."""
     one, two = (nodes.select(F.col("node").alias(end), F.col(column).alias(v), F.col("n").alias(f"n{v}")) for end, v in (("a", "x"), ("b", "y")))
@@ -291,7 +312,7 @@ def _with_both(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
 def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that reach the threshold."""
     allow = _parity_allows(percent)
-    likely = settle(_with_both(pairs, nodes, "parity").mapInArrow(allow, "a long, b long"), "likely")
+    likely = settle(_likely(pairs, nodes, percent), "likely")
     wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     keys = T.bitmap(nodes.join(wanted, "node", "left_semi"), "key")
     sets = docs.select("key", "text").mapInArrow(_sets_of(n, keys), "node long, tokens binary, wide binary")
@@ -319,20 +340,19 @@ def join_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     the row's id and text) and first (whether the row is the group's first) of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(
         "doc_id", F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("text"))
-    found = settle(docs.mapInArrow(_members(n), "doc_id long, key long, node long, n long, parity binary, block int, counts binary"), "members")
+    found = settle(docs.mapInArrow(_members(n), "doc_id long, key long, node long, n long, " + "".join(f"{p} long, " for p in PARITY) + "block int, counts binary"), "members")
     frequent = _frequent(found)
-    members = found.where("block is null").select("doc_id", "key", "node", "n", "parity")
-    nodes = settle(members.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("parity").alias("parity")), "nodes")
-    prefixes = docs.select("text").mapInArrow(_prefixes(n, percent, frequent), "token long, node long, place long")
-    lists = settle(prefixes.select("token", "place", "node").repartition("token").sortWithinPartitions("token", "place", "node").mapInArrow(
-        _by_token(_lists, 3), "token long, node long, place long, lead long, lead_place long"), "lists")
-    size, lead_size = F.shiftright("place", 32), F.shiftright("lead_place", 32)
+    members = found.where("block is null").select("doc_id", "key", "node", "n", *PARITY)
+    nodes = settle(members.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n"), *[F.min(p).alias(p) for p in PARITY]), "nodes")
+    prefixes = docs.select("text").mapInArrow(_prefixes(n, percent, frequent), "token long, node long, place long, before long")
+    lists = settle(prefixes.select("token", "place", "node", "before").repartition("token").sortWithinPartitions("token", "place", "node").mapInArrow(
+        _by_token(_lists, 4), "token long, node long, place long, before long, lead long, follows long"), "lists")
     # a quarter of the lists finds nearly all groups; the second reading takes them all
-    pairs = lists.where((F.col("lead") != F.col("node")) & (F.col("token").bitwiseAND(F.lit(3)) == 0) & (100 * lead_size >= percent * size)).select(
-        F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+    pairs = lists.where(F.col("token").bitwiseAND(F.lit(3)) == 0).select("node", F.explode(F.array("lead", "follows")).alias("other")).where(
+        "node != other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     links = _links(docs, nodes, pairs, n, percent)
     groups = components(links)
-    labelled = lists.join(groups, "node", "left").select("token", "place", "node", F.coalesce("label", "node").alias("label"))
+    labelled = lists.join(groups, "node", "left").join(nodes, "node").select("token", "place", "node", F.coalesce("label", "node").alias("label"), "before", *PARITY)
     rest = settle(labelled.repartition("token").sortWithinPartitions("token", "place", "node").mapInArrow(
         _between_groups(percent), "a long, b long").distinct(), "between")
     more = _links(docs, nodes, rest, n, percent)
