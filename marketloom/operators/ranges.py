@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marketloom.functions import intervals
 from marketloom.operators import asof, series
 from marketloom.operators.series import Layout, Prefix
+from marketloom.session import settle
 
 #: Bars the last gap reaches back into coverage, to notice rewritten history (fixed value).
 OVERLAP_BARS = 3
@@ -36,7 +37,7 @@ def coalesce(ranges: DataFrame, step: str, keys: tuple[str, ...] = ("sym",), lay
 def holes(ranges: DataFrame, step: str, keys: tuple[str, ...] = ("sym",), layout: Layout | None = None) -> DataFrame:
     """What coverage leaves out, per key: `(lo, hi)` = the covered end before a hole
     and the covered start after it; null where coverage has no such end."""
-    merged = coalesce(ranges, step, keys, layout)
+    merged = settle(coalesce(ranges, step, keys, layout), "merged")
     lay = (layout or Layout(bucket_seconds=365 * 86400)).with_(keys=keys, order=("s",))
     between = series.previous(merged, lay, {"lo": "e"}).select(*keys, "lo", F.col("s").alias("hi"))
     after = merged.groupBy(*keys).agg(F.max("e").alias("lo")).withColumn("hi", F.lit(None).cast("timestamp"))
@@ -52,7 +53,7 @@ def subtract(requests: DataFrame, covered: DataFrame, step: str, keys: tuple[str
     key's coverage.
     """
     req = requests.select("request", *keys, "start", "end").filter(F.col("start") <= F.col("end"))
-    gaps = holes(covered, step, keys, layout).withColumn("time", F.coalesce("lo", F.lit(_EARLY).cast("timestamp")))
+    gaps = settle(holes(covered, step, keys, layout), "holes").withColumn("time", F.coalesce("lo", F.lit(_EARLY).cast("timestamp")))
     lay = layout or Layout(bucket_seconds=365 * 86400)
     at = asof.backward(req.withColumn("time", F.col("start")), gaps, keys, "time", None, lay)
     # No coverage at all: nothing precedes the start, the hole is everything.

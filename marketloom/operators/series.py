@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -28,14 +29,14 @@ from pyspark.sql import types as T
 
 from marketloom.session import settle
 
-BUCKET, POS, OWN, PART, HALO = "_bucket", "_pos", "_own", "_part", "_halo"
+BUCKET, KEY, POS, OWN, PART, HALO = "_bucket", "_key", "_pos", "_own", "_part", "_halo"
 
 
 @dataclass(frozen=True)
 class Layout:
     """How a keyed, ordered table is cut into tasks.
 
-    `keys` identify a series (non-null), `order` is total within it; its first
+    `keys` identify a series, `order` is total within it; its first
     column is the bucketed one. `bucket_seconds` bounds the rows of one
     (key, bucket): pick it so a bucket of the densest key fits a task.
     """
@@ -44,7 +45,6 @@ class Layout:
     order: tuple[str, ...] = ("date",)
     bucket_seconds: int = 90 * 86400
     rows_per_part: int = 131_072
-    whole_bytes: int = 64 << 20
 
     def bucket(self, df: DataFrame) -> Column:
         name = self.order[0]
@@ -58,15 +58,6 @@ class Layout:
             c = c.cast("long")
         return F.floor(c / F.lit(self.bucket_seconds)).cast("long")
 
-    def whole(self, df: DataFrame) -> bool:
-        """Is the entire input provably small? Sizes come from the scanned files;
-        inputs Spark cannot size count as unbounded."""
-        try:
-            size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        except AttributeError:
-            return False
-        return size <= self.whole_bytes
-
     def with_(self, **changes: Any) -> "Layout":
         return replace(self, **changes)
 
@@ -119,35 +110,33 @@ def scan(df: DataFrame, layout: Layout, outputs: dict[str, Prefix]) -> DataFrame
     aggregate over an empty frame. Wrap a value in a struct to make `last`
     see nulls (that is how `previous` works).
     """
-    keys, b = list(layout.keys), BUCKET
-    if layout.whole(df):
-        w = Window.partitionBy(*keys).orderBy(*layout.order)
-        return df.select("*", *[
-            _over(p.kind, F.lit(1).cast("long") if p.kind == "count" else p.value,
-                  w.rowsBetween(Window.unboundedPreceding, 0 if p.inclusive else -1)).alias(n)
-            for n, p in outputs.items()])
+    b = BUCKET
     order = F.struct(*layout.order)
-    work = df.withColumn(b, layout.bucket(df))
+    # Structs compare null fields as equal, so null keys are a series like any other.
+    work = df.withColumn(b, layout.bucket(df)).withColumn(KEY, F.struct(*layout.keys))
     vals = {}
     for i, (name, p) in enumerate(outputs.items()):
         vals[name] = f"_v{i}"
         work = work.withColumn(f"_v{i}", F.lit(1).cast("long") if p.kind == "count" else p.value)
-    partials = work.groupBy(*keys, b).agg(
-        *[_partial(p.kind, vals[n], order).alias(f"_t{i}") for i, (n, p) in enumerate(outputs.items())])
-    before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    # Partials and rows read one shuffle. Spark shares it only while both ask for the same
+    # columns, which the two hashes below see to; their comparison always holds.
+    work = work.repartition(KEY, b)
+    hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in work.schema.fields if "map" not in f.dataType.simpleString()])
+    partials = work.groupBy(KEY, b).agg(
+        *[_partial(p.kind, vals[n], order).alias(f"_t{i}") for i, (n, p) in enumerate(outputs.items())], F.max(hashed).alias("_most"))
+    before = Window.partitionBy(KEY).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     carries = partials.select(
-        *keys, b,
+        KEY, b, "_most",
         *[_over(p.kind, F.col(f"_t{i}"), before).alias(f"_c{i}")
           for i, p in enumerate(outputs.values())])
-    joined = work.join(carries, [*keys, b], "left")
-    inside = Window.partitionBy(*keys, b).orderBy(*layout.order)
-    out = joined.select(
-        *[F.col(c) for c in df.columns],
+    joined = work.join(carries, [KEY, b]).where(hashed <= F.col("_most"))
+    inside = Window.partitionBy(KEY, b).orderBy(*layout.order)
+    return joined.select(
+        *[F.col(f"`{c}`") for c in df.columns],
         *[_combine(p.kind, F.col(f"_c{i}"), _over(
             p.kind, F.col(f"_v{i}"),
             inside.rowsBetween(Window.unboundedPreceding, 0 if p.inclusive else -1))).alias(n)
           for i, (n, p) in enumerate(outputs.items())])
-    return out
 
 
 def previous(df: DataFrame, layout: Layout, columns: dict[str, str]) -> DataFrame:
@@ -162,17 +151,12 @@ def number(df: DataFrame, layout: Layout) -> DataFrame:
     return scan(df, layout, {POS: Prefix("count")}).withColumn(POS, F.col(POS) - 1)
 
 
-def parts(df: DataFrame, layout: Layout, lookback: int, whole: bool = False) -> DataFrame:
+def parts(df: DataFrame, layout: Layout, lookback: int) -> DataFrame:
     """Cut each key into parts of `rows_per_part` rows plus `lookback` halo rows.
 
     A halo row is a copy of one of the rows just before the part; `_halo` marks
-    it and `drop_halo` removes it after the frames are evaluated. With `whole`
-    (see `Layout.whole`) each key is one part without halo.
+    it and `drop_halo` removes it after the frames are evaluated.
     """
-    if whole:
-        order = Window.partitionBy(*layout.keys).orderBy(*layout.order)
-        return df.withColumns({POS: F.row_number().over(order).cast("long") - 1,
-                               OWN: F.lit(0).cast("long"), PART: F.lit(0).cast("long"), HALO: F.lit(False)})
     size = layout.rows_per_part
     if lookback > size:
         raise ValueError(f"lookback {lookback} exceeds rows_per_part {size}")
@@ -283,6 +267,13 @@ def _part_map(keys: list[str], level: list[Recurrence], known: list[Recurrence],
     return reduce_part
 
 
+def beside(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left join on columns that may be null."""
+    other = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [left[c].eqNullSafe(other[f"_r_{c}"]) for c in on])
+    return left.join(other, same, "left").drop(*[f"_r_{c}" for c in on])
+
+
 def _fold(keys: list[str], names: list[str]) -> Callable[[pa.Table], pa.Table]:
     """Starts of every part of a key; one row per part, so the group stays small."""
 
@@ -303,23 +294,21 @@ def _fold(keys: list[str], names: list[str]) -> Callable[[pa.Table], pa.Table]:
 
 
 def recurrences(ext: DataFrame, layout: Layout, lookback: int, inputs: list[str],
-                levels: list[list[Recurrence]], whole: bool = False) -> DataFrame:
+                levels: list[list[Recurrence]]) -> DataFrame:
     """Add every recurrence to a `parts` frame, exactly, level by level.
 
     A level may read the outputs of earlier levels. Each level costs one pass
     that reduces every part to its affine map, and a fold over the parts of a
-    key; the parts' shuffle is shared by all passes.
+    key; all passes read parts that were written once.
     """
+    ext = settle(ext, "parts")
     keys = list(layout.keys)
     size = layout.rows_per_part
     key_schema = ", ".join(f"`{k}` {ext.schema[k].dataType.simpleString()}" for k in keys)
     starts: DataFrame | None = None
     known: list[Recurrence] = []
     source = ext
-    if whole:
-        known = [r for level in levels for r in level]
-        source = ext.withColumns({f"_s_{r.out}": F.lit(None).cast("double") for r in known})
-    for level in [] if whole else levels:
+    for level in levels:
         names = [r.out for r in level]
 
         map_schema = key_schema + f", {PART} bigint, " + ", ".join(
@@ -328,9 +317,9 @@ def recurrences(ext: DataFrame, layout: Layout, lookback: int, inputs: list[str]
             _part_map(keys, list(level), list(known), inputs, size, lookback), map_schema)
         fold_schema = key_schema + f", {PART} bigint, " + ", ".join(f"`_s_{n}` double" for n in names)
         folded = maps.groupBy(*keys).applyInArrow(_fold(keys, names), fold_schema)
-        starts = folded if starts is None else starts.join(folded, [*keys, PART])
+        starts = settle(folded if starts is None else beside(starts, folded, [*keys, PART]), "starts")
         known = known + list(level)
-        source = ext.join(starts, [*keys, PART], "left")
+        source = beside(ext, starts, [*keys, PART])
 
     def emit(table: pa.Table) -> pa.Table:
         table = table.sort_by(POS)
@@ -368,7 +357,7 @@ class Machine:
 
 
 def state_machine(ext: DataFrame, layout: Layout, lookback: int, machine: Machine,
-                  label: str = "machine", whole: bool = False) -> DataFrame:
+                  label: str = "machine") -> DataFrame:
     """Run `machine` over a `parts` frame and add its outputs (null on halo rows).
 
     Every part first guesses its start state by running its halo. A part whose
@@ -377,6 +366,7 @@ def state_machine(ext: DataFrame, layout: Layout, lookback: int, machine: Machin
     practice after the first because these machines forget their start once
     they flip. Only the per-part states are written between rounds.
     """
+    ext = settle(ext, "parts")
     keys = list(layout.keys)
     key_fields = [ext.schema[k] for k in keys]
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
@@ -411,16 +401,17 @@ def state_machine(ext: DataFrame, layout: Layout, lookback: int, machine: Machin
         return summarise(table, table["_want"][0].as_py(), True)
 
     state_schema = f"{key_schema}, {PART} bigint, _in array<double>, _out array<double>"
-    if not whole:
-        states = settle(ext.groupBy(*keys, PART).applyInArrow(guess, state_schema), label)
-        chain = Window.partitionBy(*keys).orderBy(PART)
-    while not whole:
+    states = settle(ext.groupBy(*keys, PART).applyInArrow(guess, state_schema), label)
+    chain = Window.partitionBy(*keys).orderBy(PART)
+    while True:
         linked = states.withColumn("_want", F.lag("_out").over(chain))
         wrong = linked.filter(~F.col("_in").eqNullSafe(F.col("_want"))).select(*keys, PART, "_want")
         if wrong.isEmpty():
             break
-        redo = (ext.join(wrong, [*keys, PART]).groupBy(*keys, PART).applyInArrow(again, state_schema))
-        states = settle(states.join(wrong, [*keys, PART], "left_anti").unionByName(redo), label)
+        wrong = settle(wrong.withColumn("_again", F.lit(True)), label)
+        redo = (beside(ext, wrong, [*keys, PART]).where("_again").drop("_again").groupBy(*keys, PART).applyInArrow(again, state_schema))
+        right = beside(states, wrong, [*keys, PART]).where("_again is null").drop("_again", "_want")
+        states = settle(right.unionByName(redo), label)
 
     def emit(table: pa.Table) -> pa.Table:
         table = table.sort_by(POS)
@@ -434,11 +425,7 @@ def state_machine(ext: DataFrame, layout: Layout, lookback: int, machine: Machin
             table = table.append_column(n, pa.array(full, from_pandas=True))
         return table
 
-    if whole:
-        ordered = ext.withColumn("_in", F.lit(None).cast("array<double>"))
-    else:
-        ordered = (ext.join(states.select(*keys, PART, "_in"), [*keys, PART], "left")
-                   .select(*ext.columns, "_in"))
+    ordered = beside(ext, states.select(*keys, PART, "_in"), [*keys, PART]).select(*ext.columns, "_in")
     schema = T.StructType([*ext.schema.fields,
                            *[T.StructField(n, T.DoubleType()) for n in machine.outputs]])
     return ordered.groupBy(*keys, PART).applyInArrow(emit, schema)

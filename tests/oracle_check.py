@@ -44,7 +44,7 @@ def main():
     args = ap.parse_args()
     if args.cut:
         from marketloom.operators import indicators, series
-        series.Layout.__init__.__defaults__ = (("symbol",), ("date",), 90 * 86400, 700, 0)
+        series.Layout.__init__.__defaults__ = (("symbol",), ("date",), 90 * 86400, 700)
         indicators.WARM_UP = 60
     sf = f"/root/testdata/sf{args.sf}"
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

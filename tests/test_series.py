@@ -11,7 +11,7 @@ from marketloom.functions import intervals
 from marketloom.operators import asof, bars, ranges, series, topk
 from marketloom.operators.series import Layout, Prefix
 
-CUT = Layout(keys=("sym",), order=("time", "seq"), bucket_seconds=3600, rows_per_part=16, whole_bytes=0)
+CUT = Layout(keys=("sym",), order=("time", "seq"), bucket_seconds=3600, rows_per_part=16)
 
 
 def ticks(n=400, seed=0, symbols=("HOT", "HOT", "HOT", "B", "C")):
@@ -21,7 +21,7 @@ def ticks(n=400, seed=0, symbols=("HOT", "HOT", "HOT", "B", "C")):
         "price": rng.uniform(1, 9, n).round(2), "size": rng.integers(0, 5, n).astype(float), "seq": np.arange(n)})
 
 
-@pytest.mark.parametrize("layout", [CUT, CUT.with_(whole_bytes=1 << 40)])
+@pytest.mark.parametrize("layout", [CUT, CUT.with_(bucket_seconds=1 << 40, rows_per_part=1 << 20)])
 def test_scan_equals_pandas(spark, layout):
     pdf = ticks()
     df = spark.createDataFrame(pdf).repartition(7)
@@ -101,7 +101,7 @@ def test_subtract_and_coalesce_properties(spark, covered, start, length):
     at = lambda d: (DAY + pd.Timedelta(days=d)).to_pydatetime()
     df = spark.createDataFrame([("A", at(s), at(e)) for s, e in cov], "sym string, s timestamp, e timestamp")
     req = spark.createDataFrame([("r", "A", at(start), at(start + length))], "request string, sym string, start timestamp, end timestamp")
-    lay = Layout(keys=("sym",), bucket_seconds=5 * 86400, whole_bytes=0)
+    lay = Layout(keys=("sym",), bucket_seconds=5 * 86400)
     got = sorted(((r.s - at(0)).days, (r.e - at(0)).days) for r in ranges.subtract(req, df, "1d", layout=lay, slice_seconds=4 * 86400).collect())
     assert got == naive_subtract((start, start + length), cov)
     merged = ranges.coalesce(df, "1d", layout=lay)
