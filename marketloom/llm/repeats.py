@@ -20,8 +20,9 @@ span, from the first window's start to the last window's end. Then:
 All three sorts stream: a task keeps no more of a key's rows than one for each span.
 
 Two questions are answered: `EARLIER` (does the window also start in a document with a
-smaller id?) and `ELSEWHERE` (does it start at any other place?). Rows repeat, so runs
-found for an id are checked against each text with that id by their span name.
+smaller id?) and `ELSEWHERE` (does it start at any other place?). A text sends each of its
+spans once. Rows repeat, so what is found for an id holds for the spans of that name in
+each text with that id.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from marketloom.llm import text as T
 from marketloom.session import scratch_path, settle
 
-RUNS = "sample long, span long, id long, place long"
+RUNS = "sample long, span long, id long, twice long"
 _U = np.uint64
 COVERED, PROBE = 1, 2
 
@@ -88,17 +89,24 @@ def _runs_of(kind: Kind, roll: T.Roll, first: np.ndarray):
     return doc[begins], begins, ends, names[picked[begins]], roll.span(begins, ends + kind.width)
 
 
+def _in_text(span: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Names of spans within their text."""
+    return span ^ T.mix(doc.astype(_U) + _U(1))
+
+
 def _emit_runs(kind: Kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, data, offsets in T.chunks(batch):
                 starts, ends, first = kind.units(data, offsets)
-                doc, begin, end, sample, span = _runs_of(kind, kind.roll(data, starts, ends), first)
-                if len(doc):
+                doc, _, _, sample, span = _runs_of(kind, kind.roll(data, starts, ends), first)
+                # once a text, however often it repeats a span itself
+                _, one, many = np.unique(_in_text(span, doc), return_index=True, return_counts=True)
+                if len(one):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(T.signed(sample)), pa.array(T.signed(span)), pa.array(ids[a:b][doc]),
-                         pa.array((begin - first[doc]) << 16 | (end - begin))], names=["sample", "span", "id", "place"])
+                        [pa.array(T.signed(sample[one])), pa.array(T.signed(span[one])), pa.array(ids[a:b][doc[one]]), pa.array((many > 1).astype(np.int64))],
+                        names=["sample", "span", "id", "twice"])
 
     return run
 
@@ -108,8 +116,9 @@ def _firsts(change: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(change, np.arange(len(change)), 0))
 
 
-def _decide_runs(kind: Kind):
-    """Rows sorted by sample, span and id (and place); out go rows with something to do."""
+def _decide_runs(kind: Kind, counted: bool):
+    """Rows (sample, span, id, and `twice` if counted, else place) sorted; out go rows with
+    something to do."""
 
     def pick(rows: list[np.ndarray], last: bool):
         sample, span, ids, place, seen = rows
@@ -143,7 +152,8 @@ def _decide_runs(kind: Kind):
         held = [np.zeros(0, np.int64)] * 5
         for batch in batches:
             rows = [c.to_numpy() for c in batch.columns]
-            rows = [np.concatenate([h, r]) for h, r in zip(held, [*rows, np.zeros(len(rows[0]), np.int64)], strict=True)]
+            seen = rows[3] if counted and not kind.earlier else np.zeros(len(rows[0]), np.int64)
+            rows = [np.concatenate([h, r]) for h, r in zip(held, [*rows, seen], strict=True)]
             if not len(rows[0]):
                 continue
             out, held = pick(rows, False)
@@ -196,14 +206,19 @@ def _probe(kind: Kind):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, (place, span, role) = _lists(batch.column(3), "place", "span", "role")
+            at, (span, role) = _lists(batch.column(3), "span", "role")
             for a, b, data, offsets in T.chunks(batch):
                 starts, ends, first = kind.units(data, offsets)
                 roll = kind.roll(data, starts, ends)
-                doc, rows = T.owners(np.diff(at[a:b + 1])), slice(at[a], at[b])
-                begin, extra, does = place[rows] >> 16, place[rows] & 0xFFFF, role[rows]
-                own = _own(kind, roll, first, doc, begin, extra, span[rows])
-                begin, extra, doc, does = begin[own], extra[own], doc[own], does[own]
+                doc, begin, end, _, here = _runs_of(kind, roll, first)
+                rows = slice(at[a], at[b])
+                told, of = np.unique(_in_text(span[rows].view(_U), T.owners(np.diff(at[a:b + 1]))), return_inverse=True)
+                does = np.zeros(len(told) + 1, np.int64)
+                np.bitwise_or.at(does, of, role[rows].astype(np.int64))
+                here = _in_text(here, doc)
+                found = np.searchsorted(told, here)
+                known = (found < len(told)) & (told[np.minimum(found, len(told) - 1)] == here) if len(told) else np.zeros(len(here), bool)
+                begin, extra, doc, does = (begin - first[doc])[known], (end - begin)[known], doc[known], does[found[known]]
                 covered, probes = (does & COVERED) > 0, np.flatnonzero(does & PROBE)
                 of, low, high, core, name = _cells(kind, roll, begin[probes] + first[doc[probes]], extra[probes])
                 of = probes[of]
@@ -347,10 +362,9 @@ def remove_repeats(docs: DataFrame, kind: Kind, with_text: bool = False) -> Data
     `with_text` also the removed spans (unit numbers) and the kept bytes."""
     docs = docs.select("id", "doc_id", F.col("text").cast("binary").alias("text"))
     runs = docs.where("id IS NOT NULL").select("id", "text").mapInArrow(_emit_runs(kind), RUNS)
-    order = ("sample", "span", "id", "place")
-    todo = settle(runs.repartition("sample").sortWithinPartitions(*order).mapInArrow(
-        _decide_runs(kind), "id long, place long, span long, role byte"), "runs")
-    by_id = todo.groupBy("id").agg(F.collect_set(F.struct("place", "span", "role")).alias("runs"))
+    todo = settle(runs.repartition("sample").sortWithinPartitions("sample", "span", "id").mapInArrow(
+        _decide_runs(kind, True), "id long, place long, span long, role byte").select("id", "span", "role"), "runs")
+    by_id = todo.groupBy("id").agg(F.collect_set(F.struct("span", "role")).alias("runs"))
     touched = T.bitmap(todo.select(F.xxhash64("id").alias("h")).distinct(), "h")
     hashed = docs.select(F.xxhash64("id").alias("h"), "id", "doc_id", "text")
     maybe, never = (hashed.mapInArrow(_split(touched, side), "id long, doc_id long, text binary") for side in (True, False))
@@ -358,7 +372,7 @@ def remove_repeats(docs: DataFrame, kind: Kind, with_text: bool = False) -> Data
         _probe(kind), "id long, doc_id long, text binary, covered array<long>, cores array<long>, spans array<long>, places array<long>"), "id", "probed")
     cells = probed.where(F.size("places") > 0).select("id", F.explode(F.arrays_zip("cores", "spans", "places")).alias("c")).select(
         F.col("c.cores").alias("sample"), F.col("c.spans").alias("span"), "id", F.col("c.places").alias("place"))
-    decided = settle(cells.repartition("sample").sortWithinPartitions(*order).mapInArrow(_decide_runs(kind), "id long, place long, span long, role byte"), "cells")
+    decided = settle(cells.repartition("sample").sortWithinPartitions("sample", "span", "id", "place").mapInArrow(_decide_runs(kind, False), "id long, place long, span long, role byte"), "cells")
     open_ = decided.where(F.col("role").bitwiseAND(F.lit(PROBE)) > 0).groupBy("id").agg(F.collect_set(F.struct("place", "span")).alias("cells"))
     windows = probed.select("id", "text").join(open_, "id").select("id", "text", "cells").mapInArrow(_open_windows(kind), "name long, id long, place long")
     single = windows.repartition("name").sortWithinPartitions("name", "id", "place").mapInArrow(_decide_windows(kind), "id long, place long, span long")
