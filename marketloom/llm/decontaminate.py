@@ -103,7 +103,7 @@ def _windows(width: int, literals: int, wanted: np.ndarray | None):
                      pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * width, pa.int32()), pa.array(T.signed(slots.reshape(-1))))],
                     names=["id", "key", "at", "size", "name", "slots"])
 
-    return run
+    return T.tidy(run)
 
 
 _OUT = "id long, key long, at long, size long, name long, slots array<long>"

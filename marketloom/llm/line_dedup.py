@@ -49,6 +49,7 @@ def lines_of(data: np.ndarray, offsets: np.ndarray):
     return starts[held], ends[held], doc[held], number[held]
 
 
+@T.tidy
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in T.chunks(batch):
@@ -113,7 +114,7 @@ def _keys(edits: int, min_bytes: int):
                     key = T.mix(key) & ~_U(1) | _U(probe)  # index rows of a key sort before its probes
                     yield pa.RecordBatch.from_arrays([pa.array(T.signed(x)) for x in (key, who, count)], names=["key", "line", "census"])
 
-    return run
+    return T.tidy(run)
 
 
 def _meet(edits: int, most: int = 1 << 20):
@@ -159,7 +160,7 @@ def _meet(edits: int, most: int = 1 << 20):
         if held is not None:
             yield from pairs(*held)
 
-    return run
+    return T.tidy(run)
 
 
 def edit_within(pairs: list[tuple[bytes, bytes]], edits: int) -> np.ndarray:
@@ -240,7 +241,7 @@ def _chosen(wanted: np.ndarray):
                 yield pa.RecordBatch.from_arrays([pa.array(T.signed(line)), pa.array([raw[s:e] for s, e in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)], pa.binary())],
                                                  names=["line", "bytes"])
 
-    return run
+    return T.tidy(run)
 
 
 def _verify(edits: int):
@@ -249,7 +250,7 @@ def _verify(edits: int):
             near = edit_within(list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)), edits)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
 
-    return run
+    return T.tidy(run)
 
 
 def near_pairs(docs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
@@ -276,6 +277,7 @@ def removed_lines(docs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
         F.collect_set(F.struct("number", "line")).alias("gone"))
 
 
+@T.tidy
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts (row, id, text, gone) without their removed lines."""
     for batch in batches:
@@ -307,7 +309,7 @@ def _side(touched: np.ndarray, side: bool):
             yield pa.RecordBatch.from_arrays(batch.columns[1:], names=["row", "id", "text"]).filter(
                 pa.array(T.in_bitmap(batch.column(0).to_numpy(), touched) == side))
 
-    return run
+    return T.tidy(run)
 
 
 def drop_lines(docs: DataFrame, edits: int = 2, min_bytes: int = 24) -> DataFrame:

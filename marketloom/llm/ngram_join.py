@@ -102,7 +102,7 @@ def _members(n: int):
                 [*(pa.nulls(m, pa.int64()) for _ in range(4 + len(PARITY))),
                  pa.array(np.arange(m), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], names=names)
 
-    return run
+    return T.tidy(run)
 
 
 def _frequent(members: DataFrame) -> np.ndarray:
@@ -148,7 +148,7 @@ def _prefixes(n: int, percent: int, frequent: np.ndarray):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x) for x in (T.signed(token[at]), T.signed(node[of]), size[of] << 32 | rank, T.signed(before))], names=["token", "node", "place", "before"])
 
-    return run
+    return T.tidy(run)
 
 
 def _by_token(handle, columns: int):
@@ -167,7 +167,7 @@ def _by_token(handle, columns: int):
         if len(held[0]):
             yield from handle(held)
 
-    return run
+    return T.tidy(run)
 
 
 def _lists(rows):
@@ -257,7 +257,7 @@ def _parity_allows(percent: int):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(
                 pa.array((100 + percent) * apart <= (100 - percent) * total))
 
-    return run
+    return T.tidy(run)
 
 
 def _wide(token: np.ndarray) -> bytes:
@@ -279,7 +279,7 @@ def _sets_of(n: int, wanted: np.ndarray):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(T.signed(node)), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([_wide(x) for x in sets], pa.binary())], names=["node", "tokens", "wide"])
 
-    return run
+    return T.tidy(run)
 
 
 def _verify(percent: int):
@@ -293,7 +293,7 @@ def _verify(percent: int):
                 linked[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked))
 
-    return run
+    return T.tidy(run)
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:

@@ -39,8 +39,8 @@ class WordTokens:
     space and never joins what white space parts, nor letters and the stops after them,
     so a text's ids are its words' ids in a row."""
 
-    SLOTS = 22  # 2**22 slots; a word sits in one of two, a newer word may take its place
-    MOST_IDS = 12_000_000  # ids remembered; beyond that the memory starts anew
+    SLOTS = 21  # 2**21 slots; a word sits in one of two, a newer word may take its place
+    MOST_IDS = 6_000_000  # ids remembered; beyond that the memory starts anew
     _made: dict[str, "WordTokens"] = {}
 
     def __init__(self, path: str):
@@ -153,7 +153,7 @@ def _pieces(path: str, length: int, end_id: int):
                     [batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(size), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return run
+    return T.tidy(run)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 1) -> DataFrame:

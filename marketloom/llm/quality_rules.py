@@ -10,8 +10,9 @@ Base rules: fewer than 50 words, or over half of the words in three-word windows
 twice or more in the text, and the document goes whatever its distances.
 
 All of it is Spark expressions over one row at a time, and one aggregate per language.
-A null text is empty and fails the base rules. Languages compare as given, null is one
-of them; one without a word list is judged by its characters alone. Repeated rows count
+A null text is empty and fails the base rules. Languages compare as given; those without
+a word list, null among them, are one group and judged by their characters alone, so the
+references are one row more than there are word lists. Repeated rows count
 and are judged each by itself. An empty table gives no rows.
 """
 
@@ -43,10 +44,11 @@ def _word_lists(lang: Column) -> Column:
     return out
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts and the two histograms of every row."""
+def features(docs: DataFrame, *carried: str) -> DataFrame:
+    """The carried columns, lang, the base counts and the two histograms of every row."""
     text = F.coalesce("text", F.lit(""))
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("t"))
+    lang = F.col("lang").cast("string")
+    df = docs.select(*carried, F.when(lang.isin(*FUNCTION_WORDS), lang).otherwise("").alias("lang"), text.alias("t"))
     df = df.select("*", F.array_remove(F.split("t", SPACE_CLASS), "").alias("w"),
                    F.filter(F.split("t", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
                    F.regexp_replace("t", CLASSES[0][1], "").alias("r0"))
@@ -54,7 +56,7 @@ def features(docs: DataFrame) -> DataFrame:
         df = df.select("*", F.regexp_replace(f"r{i - 1}", pattern, "").alias(f"r{i}"))
     left = [F.length("t"), *(F.length(f"r{i}") for i in range(len(CLASSES)))]
     df = df.select(
-        "doc_id", "lang", "w", F.size("w").cast("long").alias("n_words"),
+        *carried, "lang", "w", F.size("w").cast("long").alias("n_words"),
         (F.length("t") - (F.length("r0") - F.length("r1"))).cast("long").alias("word_chars"),
         (F.length("r1") - F.length(F.translate("r1", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -70,7 +72,7 @@ def features(docs: DataFrame) -> DataFrame:
         x["h"] == F.get("s", k - 1)["h"], x["h"] == F.get("s", k + 1)["h"], F.lit(False))), lambda x: x["i"])).alias("p"))
     covered = F.aggregate(F.transform("p", lambda x, k: F.when(k == 0, F.lit(3)).otherwise(F.least(F.lit(3), x - F.get("p", k - 1)))),
                           F.lit(0), lambda total, n: total + n)
-    return df.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+    return df.select(*carried, "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                      F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "classes",
                      F.concat("f", F.array((F.size("w") - F.aggregate("f", F.lit(0.0), lambda a, b: a + b)).cast("double"))).alias("function_words"))
 
@@ -90,20 +92,34 @@ def distance(counts: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2, F.lit(0.0)))
 
 
-def judge(docs: DataFrame, max_class_distance: float = 0.28, max_word_distance: float = 0.29, min_chars: int = 200, min_words: int = 100) -> DataFrame:
-    """doc_id, the base counts, base_failed, the distances and kept of every row."""
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    found = settle(features(docs).withColumn("base_failed", failed), "quality").withColumn("lang", F.coalesce("lang", F.lit("")))
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def references(found: DataFrame) -> DataFrame:
+    """The histograms of each language, over its rows of `features` that pass the base rules."""
     n_words = max(map(len, FUNCTION_WORDS.values())) + 1
-    sums = found.where(~F.col("base_failed")).groupBy("lang").agg(
+    sums = found.where(~base_failed()).groupBy("lang").agg(
         *[F.sum(F.get("classes", i)).alias(f"c{i}") for i in range(len(CLASSES) + 1)],
         *[F.sum(F.get("function_words", i)).alias(f"f{i}") for i in range(n_words)])
-    reference = sums.select("lang", F.array(*[f"c{i}" for i in range(len(CLASSES) + 1)]).alias("ref_c"),
-                            F.filter(F.array(*[f"f{i}" for i in range(n_words)]), lambda x: x.isNotNull()).alias("ref_f"))
-    measured = found.join(reference, "lang", "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        distance(F.col("classes"), F.col("ref_c")).alias("class_distance"),
-        F.when(F.size("function_words") > 1, distance(F.col("function_words"), F.col("ref_f"))).alias("word_distance"))
+    return settle(sums.select("lang", F.array(*[f"c{i}" for i in range(len(CLASSES) + 1)]).alias("ref_c"),
+                              F.filter(F.array(*[f"f{i}" for i in range(n_words)]), lambda x: x.isNotNull()).alias("ref_f")), "references")
+
+
+def verdicts(found: DataFrame, known: DataFrame, max_class_distance: float = 0.28, max_word_distance: float = 0.29,
+             min_chars: int = 200, min_words: int = 100) -> DataFrame:
+    """`features` with base_failed, the distances and kept; `known` has five rows at most."""
+    measured = found.join(F.broadcast(known), "lang", "left").withColumns({
+        "base_failed": base_failed(), "class_distance": distance(F.col("classes"), F.col("ref_c")),
+        "word_distance": F.when(F.size("function_words") > 1, distance(F.col("function_words"), F.col("ref_f")))})
     unlike = ((F.col("word_chars") >= min_chars) & (F.col("class_distance") > max_class_distance)) | (
         (F.col("n_words") >= min_words) & (F.col("word_distance") > max_word_distance))
     return measured.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(unlike, F.lit(False)))
+
+
+def judge(docs: DataFrame, **limits) -> DataFrame:
+    """doc_id, the base counts, base_failed, the distances and kept of every row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    found = settle(features(docs, "doc_id"), "quality")
+    return verdicts(found, references(found), **limits).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")

@@ -108,7 +108,7 @@ def _emit_runs(kind: Kind):
                         [pa.array(T.signed(sample[one])), pa.array(T.signed(span[one])), pa.array(ids[a:b][doc[one]]), pa.array((many > 1).astype(np.int64))],
                         names=["sample", "span", "id", "twice"])
 
-    return run
+    return T.tidy(run)
 
 
 def _firsts(change: np.ndarray) -> np.ndarray:
@@ -165,7 +165,7 @@ def _decide_runs(kind: Kind, counted: bool):
         if len(out[0]):
             yield pa.RecordBatch.from_arrays([pa.array(out[2]), pa.array(out[3]), pa.array(out[1]), pa.array(out[4].astype(np.int8))], names=["id", "place", "span", "role"])
 
-    return run
+    return T.tidy(run)
 
 
 def _lists(columns: pa.Array, *fields: str):
@@ -233,7 +233,7 @@ def _probe(kind: Kind):
                      lists_of(doc[of], T.signed(core)), lists_of(doc[of], T.signed(name)), lists_of(doc[of], cells)],
                     names=["id", "doc_id", "text", "covered", "cores", "spans", "places"])
 
-    return run
+    return T.tidy(run)
 
 
 def _open_windows(kind: Kind):
@@ -254,7 +254,7 @@ def _open_windows(kind: Kind):
                 x = w + first[doc[of]]
                 yield pa.RecordBatch.from_arrays([pa.array(T.signed(roll.span(x, x + kind.width))), pa.array(ids[a:b][doc[of]]), pa.array(w << 1 | wanted[of])], names=["name", "id", "place"])
 
-    return run
+    return T.tidy(run)
 
 
 def _decide_windows(kind: Kind):
@@ -289,7 +289,7 @@ def _decide_windows(kind: Kind):
         if len(held[0]):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in pick(held, True)[0]], names=["id", "place", "span"])
 
-    return run
+    return T.tidy(run)
 
 
 def _split(touched: np.ndarray, side: bool):
@@ -300,7 +300,7 @@ def _split(touched: np.ndarray, side: bool):
             here = T.in_bitmap(batch.column(0).to_numpy(), touched) == side
             yield pa.RecordBatch.from_arrays(batch.columns[1:], names=["id", "doc_id", "text"]).filter(pa.array(here))
 
-    return run
+    return T.tidy(run)
 
 
 def _finish(kind: Kind, with_text: bool):
@@ -343,7 +343,7 @@ def _finish(kind: Kind, with_text: bool):
                     names += ["span_starts", "span_ends", "kept"]
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return run
+    return T.tidy(run)
 
 
 def settle_by(df: DataFrame, key: str, label: str) -> DataFrame:

@@ -8,6 +8,7 @@ all their prefix sums wrap, which is what arithmetic modulo 2**64 needs.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,21 @@ def ready(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
+def tidy(fn):
+    """Give memory back when a partition is done: workers live on between tasks."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finish a hash: every input bit reaches every output bit."""
     x = x ^ (x >> _U(32))
