@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import intervals
+from marketloom.operators import series
 from marketloom.operators import sessions
 
 #: Columns that can hold a trade's price or size, best first (fixed values).
@@ -139,10 +140,10 @@ def anchored_vwap(ticks: DataFrame, anchor: str, interval: str, keys: tuple[str,
     sums = (ticks.filter(F.col("time") >= at).groupBy(*keys, start.alias("bucket"))
             .agg(F.max("time").alias("time"), F.sum(F.col("price") * F.col("size")).alias("pv"),
                  F.sum("size").alias("vol")))
-    # One row per key and bucket.
-    w = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    pv, vol = F.sum("pv").over(w), F.sum("vol").over(w)
-    return sums.select(*keys, "bucket", "time", F.when(vol != 0, pv / vol).alias("avwap"))
+    # A year of one-second points is cut into spans of 20,000 buckets before sums are carried.
+    layout = series.Layout(keys=keys, order=("bucket",), bucket_seconds=20_000 * intervals.width_seconds(interval))
+    run = series.scan(sums, layout, {"_pv": series.Prefix("sum", F.col("pv")), "_vol": series.Prefix("sum", F.col("vol"))})
+    return run.select(*keys, "bucket", "time", F.when(F.col("_vol") != 0, F.col("_pv") / F.col("_vol")).alias("avwap"))
 
 
 def _quote(text: str) -> str:
