@@ -137,3 +137,18 @@ def test_week_and_month_labels_match_pandas(spark):
         want = pdf.set_index("date").resample(rule)["price"].agg(["first", "last"]).dropna()
         assert list(got.date) == list(want.index), interval
         assert list(got.open) == list(want["first"]) and list(got.close) == list(want["last"])
+
+
+def test_null_keys_are_a_series(spark):
+    rows = [("a", 1, 1.0), (None, 1, 2.0), (None, 2, 1.0), ("a", 90_000, 5.0), (None, 90_000, 4.0)]
+    df = spark.createDataFrame(rows, "sym string, t long, v double")
+    lay = Layout(keys=("sym",), order=("t",), bucket_seconds=3600)
+    got = {(r.sym, r.t): r.run for r in series.scan(df, lay, {"run": Prefix("sum", F.col("v"))}).collect()}
+    assert got == {("a", 1): 1.0, ("a", 90_000): 6.0, (None, 1): 2.0, (None, 2): 3.0, (None, 90_000): 7.0}
+
+
+def test_one_row_that_explodes(spark):
+    df = spark.range(1).select(F.lit("s").alias("sym"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(200_000).cast("long"))).alias("t"))
+    lay = Layout(keys=("sym",), order=("t",), bucket_seconds=1000)
+    out = series.number(df, lay)
+    assert out.where(F.col(series.POS) != F.col("t") - 1).count() == 0 and out.count() == 200_000
