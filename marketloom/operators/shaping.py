@@ -7,7 +7,7 @@ body is parsed once and Spark prunes what is not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalar as x
@@ -319,8 +319,10 @@ def price_target(landed: DataFrame) -> DataFrame:
 
 
 def institutional_ownership(landed: DataFrame) -> DataFrame:
-    """Dated positions with their rank by shares held, nulls as zero."""
-    return pick(entries(landed, "Holders.Institutions"), HOLDERS).filter("date is not null")
+    """Dated positions with their rank by shares held among the symbol's, nulls as zero, ties by name."""
+    held = pick(entries(landed, "Holders.Institutions"), HOLDERS).filter("date is not null")
+    place = Window.partitionBy("symbol").orderBy(F.coalesce("current_shares", F.lit(0.0)).desc(), "name", "date")
+    return held.withColumn("rank", F.rank().over(place))
 
 
 def ownership(landed: DataFrame) -> DataFrame:

@@ -64,10 +64,12 @@ _HOLD = {"name": "concat('H', l_partkey)", "date": f"CASE WHEN l_returnflag = 'N
 
 
 @query("ref_institutions", f"""SELECT {_SYM} AS symbol, CAST(l_shipdate AS DATE) AS date, 'H' || l_partkey AS name, l_discount AS total_shares_percent,
-    CASE WHEN l_quantity > 5 THEN l_quantity END AS current_shares FROM lineitem WHERE l_returnflag <> 'N'""")
+    CASE WHEN l_quantity > 5 THEN l_quantity END AS current_shares,
+    rank() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_quantity > 5 THEN l_quantity ELSE 0 END DESC, 'H' || l_partkey, CAST(l_shipdate AS DATE)) AS rank
+    FROM lineitem WHERE l_returnflag <> 'N'""")
 def ref_institutions(spark, sf):
     out = sh.institutional_ownership(_body(lines(spark, sf), _HOLD, wrap=('{"Holders":{"Institutions":', "}}")))
-    return out.select("symbol", "date", "name", "total_shares_percent", "current_shares")
+    return out.select("symbol", "date", "name", "total_shares_percent", "current_shares", F.col("rank").cast("long").alias("rank"))
 
 
 @query("ref_ownership", f"""SELECT {_SYM} AS symbol, 'H' || l_partkey AS investor_name, CAST(l_shipdate AS DATE) AS date, CAST(l_shipdate AS DATE) AS filing_date,
@@ -94,6 +96,13 @@ def ref_etf_sectors(spark, sf):
     return sh.etf_weights(landed).select("symbol", "sector", F.round("weight", 8).alias("weight"))
 
 
+@query("ref_etf_countries", f"""WITH v AS (SELECT l_orderkey, l_linestatus AS country, max(l_tax) AS w FROM lineitem GROUP BY 1, 2)
+    SELECT {_SYM} AS symbol, country, round(w / 100, 8) AS weight FROM v""")
+def ref_etf_countries(spark, sf):
+    landed = _body(lines(spark, sf), {"Equity_%": "l_tax"}, "l_linestatus", ('{"ETF_Data":{"World_Regions":', "}}"))
+    return sh.etf_weights(landed, "World_Regions", "country").select("symbol", "country", F.round("weight", 8).alias("weight"))
+
+
 @query("ref_insider", f"""SELECT CASE WHEN l_returnflag = 'A' THEN 'C' || l_suppkey ELSE {_SYM} END AS symbol, 'W' || l_partkey AS owner_name,
     CAST(l_shipdate AS DATE) AS transaction_date, l_quantity AS securities_transacted FROM lineitem""")
 def ref_insider(spark, sf):
@@ -328,6 +337,17 @@ def ref_macro_series(spark, sf):
     return sh.macro_series(rows, "1996-01-01", "1998-12-31").drop("indicator")
 
 
+def _macro_one(name, place, indicator):
+    @query(name, f"{_MACRO} SELECT country, date, value FROM s WHERE i = '{place}'")
+    def run(spark, sf):
+        return sh.macro_series(_macro(spark, sf).filter(F.col("indicator") == indicator)).drop("indicator")
+
+
+_macro_one("ref_gdp_nominal", 2, sh.PROFILE_INDICATORS["gdp_usd"])
+_macro_one("ref_gdp_growth", 3, sh.PROFILE_INDICATORS["gdp_yoy"])
+_macro_one("ref_unemployment", 5, sh.PROFILE_INDICATORS["jobless_rate"])
+
+
 @query("ref_profile_pivot", f"""{_MACRO} SELECT country, arg_max(value, date) FILTER (WHERE i = '1') AS population, arg_max(value, date) FILTER (WHERE i = '2') AS gdp_usd,
     arg_max(value, date) FILTER (WHERE i = '3') AS gdp_yoy, arg_max(value, date) FILTER (WHERE i = '4') AS cpi_yoy, arg_max(value, date) FILTER (WHERE i = '5') AS jobless_rate,
     CAST(NULL AS DOUBLE) AS govt_debt_gdp FROM s GROUP BY 1""")
