@@ -56,7 +56,8 @@ class Layout:
             c = F.unix_seconds(c)
         else:
             c = c.cast("long")
-        return F.floor(c / F.lit(self.bucket_seconds)).cast("long")
+        # Null sorts first in a window; its rows are the first bucket, under a value that joins find.
+        return F.coalesce(F.floor(c / F.lit(self.bucket_seconds)).cast("long"), F.lit(-(1 << 63)).cast("long"))
 
     def with_(self, **changes: Any) -> "Layout":
         return replace(self, **changes)

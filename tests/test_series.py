@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import intervals
@@ -41,6 +42,17 @@ def test_scan_equals_pandas(spark, layout):
     np.testing.assert_allclose(got.last_big, want.price.where(want["size"] > 2).groupby(want.sym).ffill())
 
 
+def test_null_order_values_come_first(spark):
+    pdf = ticks(60)
+    df = spark.createDataFrame(pdf).withColumn("time", F.when(F.col("seq") % 7 != 0, F.col("time"))).withColumn(
+        "sym", F.when(F.col("sym") != "C", F.col("sym"))).repartition(3)
+    got = series.previous(series.number(df, CUT), CUT, {"prev": "seq"}).orderBy("seq").select("seq", "_pos", "prev").collect()
+    w = Window.partitionBy("sym").orderBy("time", "seq")
+    want = df.withColumns({"_pos": F.row_number().over(w) - 1, "prev": F.lag("seq").over(w)}).orderBy("seq").select("seq", "_pos", "prev").collect()
+    assert len(got) == 60 and got == want
+    assert series.drop_halo(series.parts(df, CUT, 3)).count() == 60
+
+
 def test_parts_hold_exact_halos(spark):
     df = spark.createDataFrame(ticks()).repartition(3)
     rows = series.parts(df, CUT, 5).select("sym", "_pos", "_part", "_halo").toPandas()
