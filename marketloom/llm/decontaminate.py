@@ -1,18 +1,20 @@
 """Benchmark decontamination by templates, so that re-parameterised items are found too.
 
-A text becomes template tokens: words without the punctuation around them, A-Z and
-Latin-1 capitals folded; numbers, names (capitalised words that open no sentence) and
-units become typed placeholders whose own spelling is kept aside as a slot value. Tokens
-of punctuation alone vanish. Windows of `width` template tokens with at least `literals`
-ordinary words are joined by hash with those of the benchmark; a fixed-size bitmap of
-the benchmark's windows keeps all other document windows out of the shuffle.
-
-Windows that agree at one shift between a document and an item are laid together. The
-document holds the item if they cover `enough` of its tokens in all (or the whole of a
-shorter item) and the slots are consistent: one value of the item always became one
-value of the document. Items of fewer than `width` tokens are too short to be told from
-ordinary prose and match nothing. Null and empty texts hold nothing; repeated rows are
-each reported; an empty benchmark leaves every document alone.
+A text becomes tokens: words without the punctuation around them, A-Z and Latin-1 capitals
+folded; tokens of punctuation alone vanish. It is read three ways: as spelled; with numbers
+and units as typed placeholders; with capitalised words that open no sentence as names too.
+A placeholder's own spelling is its slot value.
+Windows of `width` tokens of each reading are joined by hash with those of the benchmark; a
+fixed-size bitmap of the benchmark's windows keeps all other document windows out of the
+shuffle. A window with placeholders needs at least `literals` ordinary words; a window as spelled needs none, so capitals and many numbers hide
+no copy. An item of fewer than `width` tokens, or of so few placeholders and words, is one window.
+
+Windows that agree at one shift between a document and an item are laid together. The document holds the item if they cover `enough`
+of its tokens in all (or the whole of a shorter item) and the slots are consistent: one value
+of the item always became one value of the document (windows as spelled have no slots).
+Items of fewer than `width` tokens are found as spelled, whole, in any capitals. Null and
+empty texts hold nothing; repeated rows are each reported; an empty benchmark leaves every
+document alone.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm import text as T
@@ -32,6 +34,9 @@ UNITS = ("%", "$", "€", "£", "mm", "cm", "m", "km", "inch", "inches", "ft", "
          "ml", "l", "liter", "liters", "litres", "gallons", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month",
          "months", "year", "years", "dollar", "dollars", "euro", "euros", "cents", "percent", "degrees", "mph", "kmh", "watts", "volts")
 NUMBER, NAME, UNIT = (_U(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x6A09E667F3BCC909))
+#: The readings of a text, the surest first; shifts that far apart are neighbours.
+SPELLED, COUNTED, PLACED, OPENED = range(4)
+NEIGHBOURS = 0
 _B = np.arange(256)
 _DIGIT = (_B >= 48) & (_B <= 57)
 _CAPITAL = (_B >= 65) & (_B <= 90)
@@ -52,61 +57,130 @@ def _unit_names() -> np.ndarray:
     return np.sort(T.byte_roll(np.frombuffer(b"".join(spelled), np.uint8)).span(np.concatenate([[0], ends[:-1]]), ends))
 
 
-def template(data: np.ndarray, offsets: np.ndarray):
-    """Template tokens, slot values (0 for ordinary words) and the first token of each text."""
+def tokens(data: np.ndarray, offsets: np.ndarray):
+    """Folded spelling, number, unit, capital, opener and glue of each token, and the first
+    token of each text. An opener stands first in a text, line or sentence; a token is glued
+    to the one before it if neither an opening nor a mark stands between them."""
     starts, ends, first = T.words(data, offsets)
     if not len(starts):
-        return np.zeros(0, _U), np.zeros(0, _U), first
+        none = np.zeros(0, bool)
+        return np.zeros(0, _U), none, none, none, none, none, first
     core, at = _CORE[data], np.arange(len(data))
     opens = np.minimum.accumulate(np.where(core, at, len(data))[::-1])[::-1][starts]
     closes = np.maximum.accumulate(np.where(core, at, -1))[ends - 1] + 1
     solid = opens < ends
-    # a name opens no text, line or sentence
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
     inner = np.ones(len(starts), bool)
     inner[first[:-1][first[1:] > first[:-1]]] = False
     inner[1:] &= ~_CLOSES[data[ends[:-1] - 1]] & (breaks[starts[1:]] == breaks[ends[:-1]])
+    glued = np.zeros(len(starts), bool)
+    glued[1:] = inner[1:] & solid[:-1] & (opens[1:] == starts[1:]) & (closes[:-1] == ends[:-1])
     a, b = opens[solid], closes[solid]
     latin = (data[a] == 0xC3) & (data[np.minimum(a + 1, len(data) - 1)] <= 0x9E)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     spelled = T.byte_roll(_fold(data)).span(a, b)
     known = _unit_names()
-    unit = known[np.minimum(np.searchsorted(known, spelled), len(known) - 1)] == spelled
     number = _DIGIT[data[a]] | (((data[a] == 36)) & (digits[b] > digits[a]))
-    name = (_CAPITAL[data[a]] | latin) & inner[solid]
-    token = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, spelled)))
-    return token, np.where(number | unit | name, spelled, _U(0)), np.concatenate([[0], np.cumsum(solid)])[first]
+    unit = ~number & (known[np.minimum(np.searchsorted(known, spelled), len(known) - 1)] == spelled)
+    capital = (_CAPITAL[data[a]] | latin) & ~number & ~unit
+    return spelled, number, unit, capital, ~inner[solid], glued[solid], np.concatenate([[0], np.cumsum(solid)])[first]
 
 
-def _windows(width: int, literals: int, wanted: np.ndarray | None):
-    """Windows of each text (id, key): where, how many tokens the text has, name, slots."""
+def _collapsed(number: np.ndarray, unit: np.ndarray, name: np.ndarray, glued: np.ndarray) -> np.ndarray:
+    """The first token of each run: names side by side and a number with its unit are one."""
+    more = np.zeros(len(glued), bool)
+    return np.flatnonzero(~more)
+
+
+def _windows(width: int, literals: int, wanted: np.ndarray | None, short: tuple[tuple[int, int], ...] = ()):
+    """Windows of each text (id, key): the reading it is taken from, how many tokens of that
+    reading it has, its span in tokens and its place in placeholders, the tokens of the text,
+    its name and slots. Texts of the benchmark (`wanted` is None) that are too short for a
+    window give one of their whole; `short` says which of these to look for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in T.chunks(batch):
-                token, slot, first = template(data, offsets)
-                if len(token) < width:
+                spelled, number, unit, capital, opener, glued, first = tokens(data, offsets)
+                n = len(spelled)
+                if not n:
                     continue
-                at = np.arange(len(token) - width + 1)
-                doc = np.searchsorted(first, at, side="right") - 1
-                plain = np.concatenate([[0], np.cumsum(slot == 0)])
-                at = at[(at + width <= first[1:][doc]) & (plain[at + width] - plain[at] >= literals)]
-                name = T.Roll(token).span(at, at + width)
-                if wanted is not None:
-                    here = T.in_bitmap(name, wanted)
-                    at, name = at[here], name[here]
-                doc = np.searchsorted(first, at, side="right") - 1
-                slots = slot[at[:, None] + np.arange(width)] if len(at) else np.zeros((0, width), _U)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a).take(pa.array(doc)), batch.column(1).slice(a, b - a).take(pa.array(doc)),
-                     pa.array(at - first[doc]), pa.array(np.diff(first)[doc]), pa.array(T.signed(name)),
-                     pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * width, pa.int32()), pa.array(T.signed(slots.reshape(-1))))],
-                    names=["id", "key", "at", "size", "name", "slots"])
+                words = T.Roll(spelled)
+                size = np.diff(first)
+                place = None
+                never = np.zeros(n, bool)
+                parts = []
+                for reading, name in ((PLACED, capital & ~opener), (SPELLED, None), (COUNTED, never)):
+                    if reading == SPELLED:
+                        head, value, slot, heads = np.arange(n), spelled, np.zeros(n, _U), first
+                        special = None
+                    else:
+                        head = _collapsed(number, unit, name, glued)
+                        kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, spelled)))[head]
+                        ordinary = ~(number | unit | name)[head]
+                        value, heads = kind, np.searchsorted(head, first)
+                        slot = np.where(ordinary, _U(0), words.span(head, np.append(head[1:], n)))
+                        # a window is given by the first reading that makes it
+                        special = {COUNTED: ~ordinary, PLACED: name[head], OPENED: name[head] & opener[head]}[reading]
+                        if reading == PLACED:
+                            at_head = np.zeros(n, np.int64)
+                            at_head[head] = 1
+                            place = np.cumsum(at_head) - 1
+                            place -= np.repeat(place[np.minimum(first[:-1], n - 1)], size)
+                        if reading == OPENED:  # an opener may be any word
+                            ordinary |= opener[head] & name[head]
+                        plain, marks = (np.concatenate([[0], np.cumsum(x)]) for x in (ordinary, special))
+                    m, ends = len(head), np.append(head, n)
+                    owner = np.repeat(np.arange(len(size)), np.diff(heads))
+                    last, own = heads[1:][owner], np.diff(heads)[owner]
+                    roll = words if reading == SPELLED else T.Roll(value)
+                    for w in (range(1, width + 1) if wanted is None else [width, *(k for r, k in short if r == reading)]):
+                        if m < w:
+                            continue
+                        at = np.arange(m - w + 1)
+                        ok = at + w <= last[at]
+                        if w < width:
+                            if wanted is None:
+                                ok &= own[at] == w
+                            if reading != SPELLED:
+                                ok &= size[owner[at]] >= width if wanted is None else True
+                        if special is not None:
+                            ok &= (plain[at + w] - plain[at] >= literals) & (marks[at + w] > marks[at])
+                        at = at[ok]
+                        named = roll.span(at, at + w)
+                        if wanted is not None:
+                            here = T.in_bitmap(named, wanted)
+                            at, named = at[here], named[here]
+                        if not len(at):
+                            continue
+                        slots = slot[at[:, None] + np.arange(w)].reshape(-1) if special is not None else np.zeros(0, _U)
+                        each = w if special is not None else 0
+                        parts.append((reading, w, owner[at], head[at], ends[at + w], named, each, slots))
+                for reading, w, doc, start, end, named, each, slots in parts:
+                    k = len(doc)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(a, b - a).take(pa.array(doc)), batch.column(1).slice(a, b - a).take(pa.array(doc)),
+                         pa.array(np.full(k, reading)), pa.array(np.full(k, w)), pa.array(start - first[doc]), pa.array(end - first[doc]), pa.array(place[start]),
+                         pa.array(size[doc]), pa.array(T.signed(named)),
+                         pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * each, pa.int32()), pa.array(T.signed(slots)))],
+                        names=["id", "key", "reading", "width", "at", "to", "place", "size", "name", "slots"])
 
     return T.tidy(run)
 
 
-_OUT = "id long, key long, at long, size long, name long, slots array<long>"
+_OUT = "id long, key long, reading long, width long, at long, to long, place long, size long, name long, slots array<long>"
+
+
+def _covered(laid: Column) -> Column:
+    """Item tokens under the spans of `laid`; 0 where one value became several."""
+    def more(state, s):
+        return F.struct((state["n"] + F.greatest(s["to"] - F.greatest(s["at"], state["reach"]), F.lit(0).cast("long"))).alias("n"),
+                        F.greatest(state["reach"], s["to"]).alias("reach"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("reach"))
+    pairs = F.array_distinct(laid["pairs"])
+    consistent = F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda s: s["item_slots"])))
+    return F.when(consistent, F.aggregate(F.array_sort(F.array_distinct(laid["spans"])), zero, more)["n"]).otherwise(F.lit(0).cast("long"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int = 5, enough: int = 13) -> DataFrame:
@@ -117,19 +191,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int =
         return df.select("id", F.xxhash64("id", "text").alias("key"), F.col("text").cast("binary").alias("text"))
 
     items = texts(benchmark, "item_id").mapInArrow(_windows(width, literals, None), _OUT)
-    items = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("size").alias("item_size"), "name", F.col("slots").alias("item_slots")).distinct()
-    seen = texts(docs, "doc_id").mapInArrow(_windows(width, literals, T.bitmap(items.select("name").distinct(), "name")), _OUT)
+    short = tuple(sorted(tuple(r) for r in items.where(F.col("width") < width).select("reading", "width").distinct().collect()))
+    items = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("to").alias("item_to"), F.col("place").alias("item_place"),
+                         F.col("size").alias("item_size"), F.col("reading").alias("item_reading"), "name", F.col("slots").alias("item_slots")).distinct()
+    # each reading may meet the others' windows, so all look for every short width
+    short = tuple((r, w) for r in (SPELLED, COUNTED, PLACED, OPENED) for w in sorted({w for s, w in short if (s == SPELLED) == (r == SPELLED)}))
+    seen = texts(docs, "doc_id").mapInArrow(_windows(width, literals, T.bitmap(items.select("name").distinct(), "name"), short), _OUT)
     # windows of a row that occurs several times are the same rows here
-    met = seen.dropDuplicates(["key", "at", "name"]).join(items, "name").select(
-        "id", "key", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "item_size",
-        F.filter(F.arrays_zip("item_slots", "slots"), lambda s: s["item_slots"] != 0).alias("pairs"))
-    laid = met.groupBy("id", "key", "item_id", "shift").agg(
-        F.sort_array(F.collect_set("item_at")).alias("places"), F.max("item_size").alias("item_size"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    covered = F.aggregate(F.transform("places", lambda p, i: F.when(i == 0, F.lit(width).cast("long")).otherwise(
-        F.least(F.lit(width).cast("long"), p - F.get("places", i - 1)))), F.lit(0).cast("long"), lambda total, n: total + n)
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda s: s["item_slots"])))
-    held = laid.withColumn("covered", covered).where((F.col("covered") >= F.least(F.lit(enough), "item_size")) & consistent)
+    met = seen.dropDuplicates(["key", "at", "name"]).join(items, "name")
+    # By tokens for windows without names, and by placeholders, where a name's length moves nothing. `beyond`
+    # windows are the less certain half: they may add to the others' tokens, not take from them.
+    surest = F.greatest("reading", "item_reading")
+    ways = F.filter(F.array(
+        F.struct(F.lit(0).alias("way"), (F.col("at") - F.col("item_at")).alias("shift"), (surest > SPELLED).alias("beyond"), (surest <= COUNTED).alias("fits")),
+        F.struct(F.lit(1).alias("way"), (F.col("place") - F.col("item_place")).alias("shift"), (surest > PLACED).alias("beyond"), F.lit(True).alias("fits"))),
+        lambda x: x["fits"])
+    met = met.select("id", "key", "item_id", "item_size", F.struct(F.col("item_at").alias("at"), F.col("item_to").alias("to")).alias("span"), F.inline(ways),
+                     F.filter(F.arrays_zip("item_slots", "slots"), lambda s: s["item_slots"] != 0).alias("pairs"))
+    kept = [F.struct(F.collect_set(F.when(sure, F.col("span"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set(F.when(sure, F.col("pairs"))))).alias("pairs"))
+            for sure in (~F.col("beyond"), F.lit(True))]
+    of = ["id", "key", "item_id", "way"]
+    laid = met.groupBy(*of, "shift").agg(F.max("item_size").alias("item_size"), *[k.alias(f"laid{i}") for i, k in enumerate(kept)])
+    order = Window.partitionBy(*of).orderBy("shift")
+    apart = F.coalesce((F.col("shift") - F.lag("shift").over(order) > NEIGHBOURS).cast("long"), F.lit(0).cast("long"))
+    laid = laid.withColumn("apart", apart).withColumn("near", F.sum("apart").over(order))
+    near = laid.groupBy(*of, "near").agg(F.max("item_size").alias("item_size"), *[F.collect_list(f"laid{i}").alias(f"laid{i}") for i in range(2)])
+    covered = F.greatest(*[x for i in range(2) for x in (
+        F.array_max(F.transform(f"laid{i}", _covered)),
+        _covered(F.struct(F.flatten(F.col(f"laid{i}.spans")).alias("spans"), F.flatten(F.col(f"laid{i}.pairs")).alias("pairs"))))])
+    held = near.withColumn("covered", covered).where(F.col("covered") >= F.least(F.lit(enough), "item_size"))
     found = held.groupBy("id", "key").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("covered").alias("n_covered"))
     return found.select(F.col("id").alias("doc_id"), "key", "item_ids", "n_covered")
 

@@ -26,6 +26,20 @@ def test_leaks(spark):
     assert found(spark, rows) == {1: [1], 2: [1], 8: [2], 10: [1], None: [1], 13: [1]} | ({} if 9 not in found(spark, rows) else {9: [2]})
 
 
+RIVER = "Which river flows through Paris?"
+SUMS = "Compute 12 + 7 * 3 - 5 / 2 and add 19 then 4 and 8 to get 31"
+KEEPER = "The keeper of the lighthouse near Paris sold old lamps to the traders and kept the rest"
+TOM = "Tom buys seven red pears at market. Tom pays the old grocer in coins. Tom gives two pears away."
+
+
+def test_short_number_heavy_and_capitalised_copies(spark):
+    items = ((1, ITEM), (2, SHORT), (3, RIVER), (4, SUMS), (5, KEEPER))
+    rows = [(1, "They asked: " + RIVER + " Nobody knew."), (2, "Now " + SUMS + "."), (3, "So, " + SHORT.upper()), (4, "So " + SHORT.title()),
+            (5, "x " + ITEM.upper() + " y"), (6, "SEE " + ITEM.upper().replace("12", "70")), (7, "Which river flows through Rome?"), (8, KEEPER.title()),
+            (9, "which river flows by paris"), (10, "Compute 12 + 7 and add 4")]
+    assert found(spark, rows, items) == {1: [3], 2: [4], 3: [2], 4: [2], 5: [1], 6: [1], 8: [5]}
+
+
 def test_inconsistent_slots_are_no_leak(spark):
     text = ITEM.replace("to Maria", "to Ada").replace("then Maria", "then Eve")
     assert found(spark, [(1, text)]) == {}
