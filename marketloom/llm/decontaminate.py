@@ -1,15 +1,18 @@
 """Benchmark decontamination by templates, so that re-parameterised items are found too.
 
 A text becomes tokens: words without the punctuation around them, A-Z and Latin-1 capitals
-folded; tokens of punctuation alone vanish. It is read three ways: as spelled; with numbers
-and units as typed placeholders; with capitalised words that open no sentence as names too.
-A placeholder's own spelling is its slot value.
+folded; tokens of punctuation alone vanish. It is read four ways: as spelled; with numbers
+and units as typed placeholders; with capitalised words that open no sentence as names
+too; with capitalised words that open one as names as well. Names side by side, and a
+number with its unit, are one placeholder, whose joined spelling is its slot value.
 Windows of `width` tokens of each reading are joined by hash with those of the benchmark; a
 fixed-size bitmap of the benchmark's windows keeps all other document windows out of the
-shuffle. A window with placeholders needs at least `literals` ordinary words; a window as spelled needs none, so capitals and many numbers hide
+shuffle. A window with placeholders needs at least `literals` ordinary words (a word that
+opens a sentence is one); a window as spelled needs none, so capitals and many numbers hide
 no copy. An item of fewer than `width` tokens, or of so few placeholders and words, is one window.
 
-Windows that agree at one shift between a document and an item are laid together. The document holds the item if they cover `enough`
+Windows that agree at one shift between a document and an item are laid together, and those
+of shifts no more than NEIGHBOURS apart. The document holds the item if they cover `enough`
 of its tokens in all (or the whole of a shorter item) and the slots are consistent: one value
 of the item always became one value of the document (windows as spelled have no slots).
 Items of fewer than `width` tokens are found as spelled, whole, in any capitals. Null and
@@ -36,7 +39,7 @@ UNITS = ("%", "$", "€", "£", "mm", "cm", "m", "km", "inch", "inches", "ft", "
 NUMBER, NAME, UNIT = (_U(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x6A09E667F3BCC909))
 #: The readings of a text, the surest first; shifts that far apart are neighbours.
 SPELLED, COUNTED, PLACED, OPENED = range(4)
-NEIGHBOURS = 0
+NEIGHBOURS = 4
 _B = np.arange(256)
 _DIGIT = (_B >= 48) & (_B <= 57)
 _CAPITAL = (_B >= 65) & (_B <= 90)
@@ -89,6 +92,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray):
 def _collapsed(number: np.ndarray, unit: np.ndarray, name: np.ndarray, glued: np.ndarray) -> np.ndarray:
     """The first token of each run: names side by side and a number with its unit are one."""
     more = np.zeros(len(glued), bool)
+    more[1:] = glued[1:] & ((name[1:] & name[:-1]) | (unit[1:] & number[:-1]))
     return np.flatnonzero(~more)
 
 
@@ -110,7 +114,7 @@ def _windows(width: int, literals: int, wanted: np.ndarray | None, short: tuple[
                 place = None
                 never = np.zeros(n, bool)
                 parts = []
-                for reading, name in ((PLACED, capital & ~opener), (SPELLED, None), (COUNTED, never)):
+                for reading, name in ((PLACED, capital & ~opener), (SPELLED, None), (COUNTED, never), (OPENED, capital)):
                     if reading == SPELLED:
                         head, value, slot, heads = np.arange(n), spelled, np.zeros(n, _U), first
                         special = None

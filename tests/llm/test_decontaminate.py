@@ -40,6 +40,15 @@ def test_short_number_heavy_and_capitalised_copies(spark):
     assert found(spark, rows, items) == {1: [3], 2: [4], 3: [2], 4: [2], 5: [1], 6: [1], 8: [5]}
 
 
+def test_values_of_other_lengths_and_sentence_openers(spark):
+    items = ((5, KEEPER), (6, TOM), (7, ITEM))
+    rows = [(1, KEEPER.replace("Paris", "New York")), (2, "Well. " + KEEPER.replace("Paris", "Upper New York").replace("The keeper", "the keeper")),
+            (3, TOM.replace("Tom", "Anna")), (4, TOM.replace("Tom", "Anna Maria Smith")), (5, TOM.replace("Tom pays", "Ben pays").replace("Tom", "Anna")),
+            (6, ITEM.replace("Maria", "Anna Lee").replace("3 dollars", "9").replace("12", "5 kg")), (7, KEEPER.replace("old lamps", "very old lamps")),
+            (8, (ITEM.replace("Maria", "Ada") + ". ") * 3 + ITEM.replace("Maria", "Eve"))]
+    assert found(spark, rows, items) == {1: [5], 2: [5], 3: [6], 4: [6], 6: [7], 7: [5], 8: [7]}
+
+
 def test_inconsistent_slots_are_no_leak(spark):
     text = ITEM.replace("to Maria", "to Ada").replace("then Maria", "then Eve")
     assert found(spark, [(1, text)]) == {}
