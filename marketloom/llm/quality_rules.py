@@ -10,10 +10,10 @@ Base rules: fewer than 50 words, or over half of the words in three-word windows
 twice or more in the text, and the document goes whatever its distances.
 
 All of it is Spark expressions over one row at a time, and one aggregate per language.
-A null text is empty and fails the base rules. Languages compare as given; those without
-a word list, null among them, are one group and judged by their characters alone, so the
-references are one row more than there are word lists. Repeated rows count
-and are judged each by itself. An empty table gives no rows.
+A null text is empty and fails the base rules. A language whose primary subtag has a word
+list is that language in any spelling ('EN', 'en-US'); all others compare as given, null is
+one of them, and each has its own reference and is judged by its characters alone. Repeated
+rows count and are judged each by itself. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,11 +44,15 @@ def _word_lists(lang: Column) -> Column:
     return out
 
 
+def _language(lang: Column) -> Column:
+    primary = F.lower(F.regexp_extract(lang, r"^\s*([A-Za-z]+)(?:[-_].*)?\s*$", 1))
+    return F.when(primary.isin(*FUNCTION_WORDS), primary).otherwise(lang)
+
+
 def features(docs: DataFrame, *carried: str) -> DataFrame:
     """The carried columns, lang, the base counts and the two histograms of every row."""
     text = F.coalesce("text", F.lit(""))
-    lang = F.col("lang").cast("string")
-    df = docs.select(*carried, F.when(lang.isin(*FUNCTION_WORDS), lang).otherwise("").alias("lang"), text.alias("t"))
+    df = docs.select(*carried, _language(F.col("lang").cast("string")).alias("lang"), text.alias("t"))
     df = df.select("*", F.array_remove(F.split("t", SPACE_CLASS), "").alias("w"),
                    F.filter(F.split("t", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
                    F.regexp_replace("t", CLASSES[0][1], "").alias("r0"))
@@ -108,8 +112,9 @@ def references(found: DataFrame) -> DataFrame:
 
 def verdicts(found: DataFrame, known: DataFrame, max_class_distance: float = 0.28, max_word_distance: float = 0.29,
              min_chars: int = 200, min_words: int = 100) -> DataFrame:
-    """`features` with base_failed, the distances and kept; `known` has five rows at most."""
-    measured = found.join(F.broadcast(known), "lang", "left").withColumns({
+    """`features` with base_failed, the distances and kept; `known` has a row per language."""
+    known = known.withColumnRenamed("lang", "_lang")
+    measured = found.join(known, found["lang"].eqNullSafe(known["_lang"]), "left").drop("_lang").withColumns({
         "base_failed": base_failed(), "class_distance": distance(F.col("classes"), F.col("ref_c")),
         "word_distance": F.when(F.size("function_words") > 1, distance(F.col("function_words"), F.col("ref_f")))})
     unlike = ((F.col("word_chars") >= min_chars) & (F.col("class_distance") > max_class_distance)) | (

@@ -56,5 +56,21 @@ def test_distance(spark):
     assert abs(got - want) < 1e-12
 
 
+def test_every_language_has_its_own_reference(spark):
+    def text(letters, n):
+        return " ".join(letters[i // 12] + letters[i % 12] + letters[i % len(letters):] + letters[:i * 7 % len(letters)] + letters[i % 5] * (i % 9) for i in range(n))
+
+    rows = [(i, text("абвгдежзийклмнопрстуф"[i % 5:], 150), "ru") for i in range(20)]
+    rows += [(100 + i, text("abcdefghijklmnopqrstuv"[i % 5:], 150), lang) for i, lang in enumerate(("pt", "pt", "nl", None, "", None))]
+    got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == 26 and all(r.kept and r.class_distance < 0.1 for r in got.values())
+
+
+def test_spellings_of_a_listed_language_keep_the_word_test(spark):
+    rows = [(i, " ".join(f"{w} w{i}x{j}" for j, w in enumerate(Q.FUNCTION_WORDS["en"] * 4)), lang) for i, lang in enumerate(["en"] * 9 + ["EN", "en-US", "en_GB", "eng"])]
+    got = {r.doc_id: r.word_distance for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all((got[i] is None) == (i == 12) for i in range(13))
+
+
 def test_empty_table(spark):
     assert Q.judge(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
