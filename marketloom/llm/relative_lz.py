@@ -1,12 +1,8 @@
-"""Relative Lempel-Ziv parsing of documents against all earlier documents.
+"""Repeated windows of words, by sampled-window sorting (`repeats`).
 
-Reference blocks are the spans that content-defined sampling cuts (`repeats`); every
-document's blocks are indexed by name with the smallest doc_id that holds them. A
-document is factored greedily over the index: each of its blocks that an earlier
-document holds extends the current factor, so a factor is a maximal chain of indexed
-blocks. At factor boundaries, where a block is not in the index but its sample is, the
-windows inside are looked up one by one. What `width` consecutive words cover that also
-starts in a document with a smaller id is a duplicate span.
+The relative Lempel-Ziv parse is left out: no index of reference blocks and no factor is
+built. What `width` consecutive words cover that also starts in a document with a smaller
+id is a duplicate span.
 
 Words are runs of anything but the six ASCII white-space characters, compared as they
 are. A null or empty text has no words; a text shorter than `width` words loses none.
