@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import compression_classifier, decontaminate, line_dedup, ngram_join, packing, quality_rules, relative_lz, suffix_dedup, two_pass_shuffle, url_vocabulary
+from marketloom.llm import compression_classifier, decontaminate, lexical_search, line_dedup, ngram_join, packing, phrase_mining, quality_rules, relative_lz, suffix_dedup, two_pass_shuffle, url_vocabulary, vector_search
 from marketloom.llm.text import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @entry("op1_template_decontamination")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_ids", "n_covered")
+
+
+@entry("op12_weighted_de_bruijn", phrase_mining.collocations_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents"))
+
+
+@entry("op13_hybrid_taat_daat", lexical_search.rank_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@entry("op11_impact_ordered", vector_search.search_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)

@@ -21,6 +21,7 @@ from marketloom.session import ship
 CHUNK = 1 << 20
 #: Word separators: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = (9, 10, 11, 12, 13, 32)
+LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 IS_SPACE = np.isin(np.arange(256), SPACES)
 WORD = r"[^\x20\x09-\x0D]+"
 SEPARATORS = " \t\n\x0b\x0c\r"
