@@ -6,8 +6,12 @@ sinks. State is bounded by the watermark or by the number of symbols.
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from marketloom.functions import intervals
@@ -178,27 +182,53 @@ def start(stream: DataFrame, path: str, checkpoint: str, trigger: str = EMIT_EVE
             .trigger(processingTime=trigger).start())
 
 
-def drain(stream: DataFrame, mode: str = "append", label: str = "stream", on_batch=None) -> DataFrame:
-    """Run everything available now and return what came out, with `batch_id`.
+def drive(stream: DataFrame, write, checkpoint: str, mode: str = "append") -> list[dict]:
+    """Run everything available now through `write(batch, batch_id)`; what Spark reported
+    of each batch. Started again on the same checkpoint it goes on where it stopped: a
+    batch that failed runs again under its old id, a finished one never does."""
+    query = (stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return [json.loads(p.json) for p in query.recentProgress]
 
-    Each micro-batch overwrites its own folder, so a retried batch is not doubled.
-    """
-    spark = stream.sparkSession
-    root = scratch_path(spark, label)
-    schema = stream.schema if on_batch is None else None
+
+def append_batches(path: str, on_batch=None):
+    """A batch writer that keeps each batch in a folder of its own id, so a batch that is
+    tried again replaces what its first try left."""
 
     def write(df: DataFrame, batch_id: int) -> None:
         out = df if on_batch is None else on_batch(df, batch_id)
-        out.write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/batch_id={batch_id}")
 
-    query = (stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint")
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    reader = spark.read.option("basePath", f"{root}/out")
-    if schema is not None:
-        from pyspark.sql import types as T
-        reader = reader.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())]))
-    return reader.parquet(f"{root}/out")
+    return write
+
+
+def written(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What `append_batches` left, with `batch_id`; empty where no batch ran."""
+    with_id = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    try:
+        return spark.read.option("basePath", path).schema(with_id).parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], with_id)
+
+
+def drain(stream: DataFrame, mode: str = "append", label: str = "stream", on_batch=None, root: str | None = None) -> DataFrame:
+    """Run everything available now and return all that came out, with `batch_id`.
+
+    With the `root` of an earlier run it goes on from there, and returns that run's rows too.
+    """
+    spark = stream.sparkSession
+    root = root or scratch_path(spark, label)
+    schema = stream.schema if on_batch is None else on_batch(spark.createDataFrame([], stream.schema), -1).schema
+    drive(stream, append_batches(f"{root}/out", on_batch), f"{root}/checkpoint", mode)
+    return written(spark, f"{root}/out", schema)
+
+
+def arrived(progress: list[dict]) -> int:
+    """Rows that the sources of some batches brought."""
+    return sum(p["numInputRows"] for p in progress)
 
 
 def settled(updates: DataFrame, keys: tuple[str, ...]) -> DataFrame:
