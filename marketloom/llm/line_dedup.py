@@ -11,10 +11,18 @@ shares at least one of them, shifted by no more than the edits on either side al
 every line puts (length, segment number, segment) into the index and probes it, for each
 shorter or equal length in reach, with the substrings that the length difference lets
 meet that segment. Lines that meet are compared first by a 64-bit byte census, whose
-distance bounds the edits from below, so that a segment shared by many lines gives few
-pairs; the rest is verified by a banded bit-parallel edit distance. Nothing is capped.
-
-A null text is empty. A null doc_id comes last. Rows that repeat one doc_id and text
+distance bounds the edits from below; the rest is verified by a banded bit-parallel edit
+distance.
+
+A line goes for one earlier line in reach, so a group of many near copies is not paired
+out: under each key a line first takes the few earlier lines with the nearest census. A
+line that these do not settle takes more of the same key's lines in a second round, and all
+of them in the last: what is left undecided is small, and nothing is capped for good. Lines
+that go still serve as evidence against later ones.
+
+Columns besides doc_id and text are carried along as they are, whatever their names; an
+empty table gives no rows; equal lines in one document tie by line number. A text of any
+length is held whole by one task. A null text is empty. A null doc_id comes last. Rows that repeat one doc_id and text
 keep the same lines. A document left without lines keeps an empty text.
 """
 
@@ -83,17 +91,19 @@ def census_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _keys(edits: int, min_bytes: int):
-    """Index rows (probe false) and probes of every distinct line of a chunk."""
+    """Index rows (probe false) and probes of every distinct line of a chunk, with its first place there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in T.chunks(batch):
-                starts, ends, _, _ = lines_of(data, offsets)
-                long = ends - starts >= min_bytes
+            for a, b, data, offsets in T.chunks(batch):
+                starts, ends, doc, number = lines_of(data, offsets)
+                ids = batch.column(0).slice(a, b - a).to_numpy()[doc]
+                long = np.flatnonzero(ends - starts >= min_bytes)
+                long = long[np.lexsort((number[long], ids[long]))]
                 starts, ends = starts[long], ends[long]
                 roll = T.byte_roll(data)
                 line, sample = np.unique(roll.span(starts, ends), return_index=True)
-                starts, ends = starts[sample], ends[sample]
+                starts, ends, ids, number = starts[sample], ends[sample], ids[long][sample], number[long][sample]
                 size, census = ends - starts, _census(data, starts, ends)
                 out: list[tuple] = []
                 for less in range(edits + 1):
@@ -102,53 +112,78 @@ def _keys(edits: int, min_bytes: int):
                         at, n = _segment(length, edits, i)
                         salt = (length * (edits + 1) + i).astype(_U) * _U(0x9E3779B97F4A7C15)
                         if not less:
-                            out.append((roll.span(starts + at, starts + at + n) ^ salt, line, census, False))
+                            out.append((roll.span(starts + at, starts + at + n) ^ salt, slice(None), False))
                         # edits left of the segment are at most i, right of it at most edits - i
                         for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
                             if not less and not shift:
                                 continue  # the line's own index row; index rows meet each other
                             fits = (length >= min_bytes) & (at + shift >= 0) & (at + shift + n <= size)
                             p = starts[fits] + (at + shift)[fits]
-                            out.append((roll.span(p, p + n[fits]) ^ salt[fits], line[fits], census[fits], True))
-                for key, who, count, probe in out:
+                            out.append((roll.span(p, p + n[fits]) ^ salt[fits], fits, True))
+                for key, of, probe in out:
                     key = T.mix(key) & ~_U(1) | _U(probe)  # index rows of a key sort before its probes
-                    yield pa.RecordBatch.from_arrays([pa.array(T.signed(x)) for x in (key, who, count)], names=["key", "line", "census"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(T.signed(x)) for x in (key, line[of], census[of])), pa.array(ids[of]), pa.array(number[of], pa.int32())],
+                                                     names=["key", "line", "census", "id", "number"])
 
     return T.tidy(run)
 
 
-def _meet(edits: int, most: int = 1 << 20):
-    """Pairs of lines that meet under a key and whose census allows the edits; rows come
-    sorted by key, index rows (last bit 0) before probes. A probe meets all index rows of
-    its key, an index row those after it."""
+def _nearest(later, earlier, distance, cap: int):
+    """The `cap` pairs of each later row with the least distance; pairs with equal distance by row."""
+    order = np.lexsort((earlier, distance, later))
+    later, earlier, distance = later[order], earlier[order], distance[order]
+    kept = np.arange(len(later)) - np.searchsorted(later, later) < cap
+    return later[kept], earlier[kept], distance[kept]
+
+
+def _meet(edits: int, cap: int | None, most: int = 1 << 20):
+    """Pairs (a, b) of a line and an earlier one that meet under a key and whose census
+    allows the edits; for each open row the `cap` nearest, or all. Rows come sorted by key,
+    index rows (last bit 0) before probes; a probe meets all index rows of its key, an index
+    row those after it. Where a row has more than `cap`, the rows of its key come out too
+    (key set), to be read by the next round."""
 
-    def pairs(key, line, census):
+    def pairs(key, line, census, ids, number, open_):
         new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])  # one line from many chunks
-        key, line, census = key[new], line[new], census[new]
-        probe, key = (key & 1) > 0, key >> 1
+        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])  # one line from many chunks: its first place
+        full, line, census, ids, number, open_ = (x[new] for x in (key, line, census, ids, number, open_))
+        probe, key = (full & 1) > 0, full >> 1
         index, probes = np.flatnonzero(~probe), np.arange(len(key))
         low, high = np.searchsorted(key[index], key), np.searchsorted(key[index], key, side="right")
         low = np.where(probe, low, np.searchsorted(index, probes) + 1)
         many = high - low
         probes, low, many = probes[many > 0], low[many > 0], many[many > 0]
-        a = 0
+        held, total, a = (np.zeros(0, np.int64),) * 3, np.zeros(len(key), np.int64), 0
         while a < len(probes):
             b = max(a + 1, int(np.searchsorted(np.cumsum(many[a:a + most]), most, side="right")) + a)
             x = np.repeat(probes[a:b], many[a:b])
             y = index[T.spread(low[a:b], many[a:b])]
-            other = line[x] != line[y]
-            x, y = x[other], y[other]
-            near = census_distance(census[x].view(_U), census[y].view(_U)) <= 2 * edits
-            one, two = line[x[near]], line[y[near]]
-            both = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)]), axis=1) if len(one) else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
             a = b
+            first = (ids[x] > ids[y]) | (ids[x] == ids[y]) & (number[x] > number[y])
+            x, y = np.where(first, x, y), np.where(first, y, x)
+            use = (line[x] != line[y]) & open_[x]
+            x, y = x[use], y[use]
+            distance = census_distance(census[x].view(_U), census[y].view(_U))
+            near = distance <= 2 * edits
+            x, y, distance = x[near], y[near], distance[near]
+            if cap is None:
+                yield _pair_rows(line[x], line[y])
+                continue
+            total += np.bincount(x, minlength=len(key))
+            held = _nearest(*(np.concatenate(z) for z in zip(held, (x, y, distance), strict=True)), cap)
+        if cap is not None:
+            yield _pair_rows(line[held[0]], line[held[1]])
+            more = total > cap
+            crowd = np.isin(key, key[more])
+            if crowd.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(line[crowd]), pa.nulls(int(crowd.sum()), pa.int64()), *(pa.array(x[crowd]) for x in (full, census, ids)), pa.array(number[crowd], pa.int32()), pa.array(more[crowd])],
+                    names=MET_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            rows = [c.to_numpy() for c in batch.columns]
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
             if not len(rows[0]):
@@ -163,6 +198,16 @@ def _meet(edits: int, most: int = 1 << 20):
     return T.tidy(run)
 
 
+MET = "a long, b long, key long, census long, id long, number int, open boolean"
+MET_NAMES = [c.split()[0] for c in MET.split(", ")]
+
+
+def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+    n = both.shape[1]
+    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()))], names=MET_NAMES)
+
+
 def edit_within(pairs: list[tuple[bytes, bytes]], edits: int) -> np.ndarray:
     """Which pairs lie within `edits` byte edits. Common ends are cut off; then all pairs
     advance together, one column of the distance matrix a step. A pair's band of
@@ -253,25 +298,36 @@ def _verify(edits: int):
     return T.tidy(run)
 
 
-def near_pairs(docs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
-    """Pairs a < b of line names within `edits` edits of each other, of (id, text) rows."""
-    keys = docs.mapInArrow(_keys(edits, min_bytes), "key long, line long, census long")
-    met = settle(keys.repartition(F.shiftright("key", 1)).sortWithinPartitions("key", "line").mapInArrow(_meet(edits), "a long, b long").distinct(), "met")
-    names = met.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    spelled = docs.mapInArrow(_chosen(T.bitmap(names, "line")), "line long, bytes binary").join(names, "line", "left_semi").groupBy("line").agg(F.min("bytes").alias("bytes"))
-    spelled = settle(spelled, "lines")
-    return met.join(spelled.withColumnsRenamed({"line": "a", "bytes": "x"}), "a").join(spelled.withColumnsRenamed({"line": "b", "bytes": "y"}), "b").select(
-        "a", "b", "x", "y").mapInArrow(_verify(edits), "a long, b long")
+def near_lines(docs: DataFrame, edits: int, min_bytes: int, caps: tuple[int | None, ...] = (4, 64, None)) -> DataFrame:
+    """Names of the lines that have an earlier line within `edits` edits, of (id, text) rows."""
+    rows = docs.mapInArrow(_keys(edits, min_bytes), "key long, line long, census long, id long, number int").withColumn("open", F.lit(True))
+    spelled = marked = None
+    for cap in caps:
+        dealt = rows.repartition(F.shiftright("key", 1)).sortWithinPartitions("key", "line", "id", "number")
+        met = settle(dealt.mapInArrow(_meet(edits, cap), MET), "met")
+        pairs = met.where("key is null").select("a", "b").distinct()
+        if spelled is None:  # lines of the crowded keys are asked for by later rounds
+            names = met.select("a").unionByName(met.where("b is not null").select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "line")
+            names = settle(names, "names")
+            spelled = docs.mapInArrow(_chosen(T.bitmap(names, "line")), "line long, bytes binary").join(names, "line", "left_semi").groupBy("line").agg(F.min("bytes").alias("bytes"))
+            spelled = settle(spelled, "lines")
+        near = (pairs.join(spelled.withColumnsRenamed({"line": "a", "bytes": "x"}), "a").join(spelled.withColumnsRenamed({"line": "b", "bytes": "y"}), "b")
+                .select("a", "b", "x", "y").mapInArrow(_verify(edits), "a long, b long").select(F.col("a").alias("line")))
+        marked = settle((near if marked is None else near.unionByName(marked)).distinct(), "near")
+        crowd = met.where("key is not null").select("key", F.col("a").alias("line"), "census", "id", "number", "open", F.shiftright("key", 1).alias("group"))
+        going = crowd.where("open").join(marked, "line", "left_anti").select("group", "line").distinct().withColumn("go", F.lit(True))
+        if cap is None or going.isEmpty():
+            return marked
+        rows = (crowd.join(going.select("group").distinct(), "group", "left_semi").join(going, ["group", "line"], "left")
+                .select("key", "line", "census", "id", "number", F.coalesce("go", F.lit(False)).alias("open")))
+    return marked
 
 
 def removed_lines(docs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
     """id and its removed lines, (number, line name) each, of (id, text) rows."""
     seen = settle(docs.mapInArrow(_occurrences, "line long, id long, number int"), "occurrences")
     first = seen.groupBy("line").agg(F.min(F.struct("id", "number")).alias("first"), F.count("*").alias("n"))
-    pairs = near_pairs(docs, edits, min_bytes)
-    ahead = first.select("line", "first")
-    later = pairs.join(ahead.withColumnsRenamed({"line": "a", "first": "fa"}), "a").join(ahead.withColumnsRenamed({"line": "b", "first": "fb"}), "b").select(
-        F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("line")).distinct().withColumn("near", F.lit(True))
+    later = near_lines(docs, edits, min_bytes).withColumn("near", F.lit(True))
     special = first.join(later, "line", "left").where("n > 1 or near")
     return seen.join(special, "line").where(F.coalesce("near", F.lit(False)) | (F.struct("id", "number") != F.col("first"))).groupBy("id").agg(
         F.collect_set(F.struct("number", "line")).alias("gone"))

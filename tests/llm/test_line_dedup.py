@@ -1,6 +1,7 @@
 """Lines against brute force; the banded edit distance against the whole matrix."""
 
 import random
+import zlib
 
 import pytest
 
@@ -73,5 +74,29 @@ def test_lines(spark, edits):
     assert sorted(map(tuple, got), key=repr) == brute(rows, edits, 20)
 
 
+@pytest.mark.parametrize("caps", [(1, 2, None), (None,)])
+def test_rounds_lose_nothing(spark, caps):
+    rows = fixture()
+    docs = spark.createDataFrame([(L.LAST if i is None else i, (t or "").encode()) for i, t in rows], "id long, text binary").repartition(3)
+    near = {r.line for r in L.near_lines(docs, 2, 20, caps).collect()}
+    assert near == {r.line for r in L.near_lines(docs, 2, 20).collect()} and near
+
+
+def test_a_large_group_of_near_copies_gives_few_pairs(spark):
+    """2,000 lines that are all within two edits of each other: one stays, pairs stay linear."""
+    base = "the quick brown fox jumps over the lazy dog and then some more words follow it " * 2
+    r = random.Random(1)
+    lines = set()
+    while len(lines) < 2000:
+        at = r.randrange(len(base))
+        lines.add(base[:at] + r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") + base[at + 1:])
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(sorted(lines, key=lambda x: zlib.crc32(x.encode())))], "doc_id long, text string").repartition(4)
+    out = L.drop_lines(docs).select("row.doc_id", "n_removed").collect()
+    assert {x.doc_id for x in out if not x.n_removed} == {0}
+    keys = docs.selectExpr("doc_id AS id", "cast(text AS binary) AS text").mapInArrow(L._keys(2, 24), "key long, line long, census long, id long, number int").selectExpr("*", "true AS open")
+    met = keys.repartition(8, keys.key - keys.key % 2).sortWithinPartitions("key", "line", "id", "number").mapInArrow(L._meet(2, 4), L.MET)
+    assert met.where("key is null").select("a", "b").distinct().count() <= 2000 * 4 * 5
+
+
 def test_nothing(spark):
     assert L.drop_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
