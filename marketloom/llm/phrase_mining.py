@@ -38,7 +38,7 @@ _U = np.uint64
 STOPS = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
 BLANKS = np.isin(np.arange(256), (9, 32))
 BITS = 24
-CHUNK = 2 << 20
+CHUNK = T.CHUNK
 
 
 class Words:
