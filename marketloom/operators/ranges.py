@@ -5,11 +5,11 @@ Ranges are `(keys..., s, e)` with both ends inclusive; `step` is one bar.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import intervals
-from marketloom.operators import asof, series
+from marketloom.operators import series
 from marketloom.operators.series import Layout, Prefix
 from marketloom.session import settle
 
@@ -21,56 +21,75 @@ REVISION = 1e-6
 NON_PRICE = ("volume", "t", "date", "vwap_count")
 PRICE_ORDER = ("adj_close", "close", "open", "high", "low")
 
-_EARLY = "0001-01-01 00:00:00"
+
+def pieces(ranges: DataFrame, step: str, keys: tuple[str, ...], layout: Layout) -> DataFrame:
+    """Ranges merged within each (key, time bucket of their start): one shuffle, and few
+    rows are left where ranges lie close. Pieces of neighbouring buckets may still touch."""
+    b = series.BUCKET
+    rows = ranges.select(*keys, "s", "e").where("s <= e")
+    rows = rows.withColumn(b, layout.bucket(rows))
+    inside = Window.partitionBy(*keys, b).orderBy("s", "e")
+    reach = F.max("e").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_new", _opens(reach, step).cast("int"))
+    rows = rows.withColumn("_piece", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(*keys, b, "_piece").agg(F.min("s").alias("s"), F.max("e").alias("e")).select(*keys, "s", "e")
+
+
+def _opens(reach: Column, step: str) -> Column:
+    """Does a range that starts at `s` leave a hole behind what reaches to `reach`?"""
+    return reach.isNull() | (F.col("s") - intervals.step_literal(step) > reach)
 
 
 def coalesce(ranges: DataFrame, step: str, keys: tuple[str, ...] = ("sym",), layout: Layout | None = None) -> DataFrame:
-    """Merge ranges that overlap or lie within one step."""
+    """Merge ranges that overlap or lie within one step. A range that ends before it
+    starts is left out. The ranges are shuffled once; the two scans read merged pieces."""
     layout = (layout or Layout(bucket_seconds=30 * 86400)).with_(keys=keys, order=("s", "e"))
-    reach = series.scan(ranges.select(*keys, "s", "e"), layout, {"_reach": Prefix("max", F.col("e"), False)})
-    gap = F.col("_reach").isNull() | (F.col("s") - intervals.step_literal(step) > F.col("_reach"))
-    flagged = reach.withColumn("_new", gap.cast("long"))
+    reach = series.scan(pieces(ranges, step, keys, layout), layout, {"_reach": Prefix("max", F.col("e"), False)})
+    flagged = reach.withColumn("_new", _opens(F.col("_reach"), step).cast("long"))
     island = series.scan(flagged, layout, {"_island": Prefix("sum", F.col("_new"))})
     return (island.groupBy(*keys, "_island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_island"))
 
 
-def holes(ranges: DataFrame, step: str, keys: tuple[str, ...] = ("sym",), layout: Layout | None = None) -> DataFrame:
-    """What coverage leaves out, per key: `(lo, hi)` = the covered end before a hole
-    and the covered start after it; null where coverage has no such end."""
-    merged = settle(coalesce(ranges, step, keys, layout), "merged")
-    lay = (layout or Layout(bucket_seconds=365 * 86400)).with_(keys=keys, order=("s",))
-    between = series.previous(merged, lay, {"lo": "e"}).select(*keys, "lo", F.col("s").alias("hi"))
-    after = merged.groupBy(*keys).agg(F.max("e").alias("lo")).withColumn("hi", F.lit(None).cast("timestamp"))
-    return between.unionByName(after)
-
-
 def subtract(requests: DataFrame, covered: DataFrame, step: str, keys: tuple[str, ...] = ("sym",),
              layout: Layout | None = None, slice_seconds: int = 30 * 86400) -> DataFrame:
-    """Parts of each request (`request`, keys, `start`, `end`) that `covered` lacks.
+    """Parts of each request (`request`, unique; keys, `start`, `end`) that `covered` lacks.
 
-    A request meets the hole it starts in (an as-of read) and the holes that open
-    inside it, matched on equal time slices; no request is paired with a whole
-    key's coverage.
+    One sweep in time over covered pieces and request starts carries how far coverage
+    reaches. A piece that starts beyond it closes a hole; a request that starts beyond it
+    begins in one. A request meets the holes with an edge inside it on equal time slices;
+    no request is paired with a whole key's coverage.
     """
-    req = requests.select("request", *keys, "start", "end").filter(F.col("start") <= F.col("end"))
-    gaps = settle(holes(covered, step, keys, layout), "holes").withColumn("time", F.coalesce("lo", F.lit(_EARLY).cast("timestamp")))
-    lay = layout or Layout(bucket_seconds=365 * 86400)
-    at = asof.backward(req.withColumn("time", F.col("start")), gaps, keys, "time", None, lay)
-    # No coverage at all: nothing precedes the start, the hole is everything.
-    first = at.select("request", *keys, "start", "end", "lo", "hi")
+    layout = (layout or Layout(bucket_seconds=365 * 86400)).with_(keys=keys, order=("s", "_request", "e"))
+    one = intervals.step_literal(step)
+    stamp = F.lit(None).cast("timestamp")
+    have = pieces(covered, step, keys, layout)
+    req = requests.select("request", *keys, F.col("start").cast("timestamp").alias("start"), F.col("end").cast("timestamp").alias("end")).where("start <= end")
+    # at one instant coverage comes before the requests that start there
+    events = have.select(*keys, "s", "e", F.lit(False).alias("_request"), F.lit(None).cast(req.schema["request"].dataType).alias("request"), stamp.alias("end")).unionByName(
+        req.select(*keys, F.col("start").alias("s"), stamp.alias("e"), F.lit(True).alias("_request"), "request", "end"))
+    swept = settle(series.scan(events, layout, {"_reach": Prefix("max", F.col("e"), False)}), "swept")
+    opened = swept.where(~F.col("_request") & _opens(F.col("_reach"), step)).select(*keys, F.col("_reach").alias("lo"), F.col("s").alias("hi"))
+    last = swept.where(~F.col("_request")).groupBy(*keys).agg(F.max("e").alias("lo")).withColumn("hi", stamp)
+    holes = opened.unionByName(last)
+    asked = swept.where("_request").select("request", *keys, F.col("s").alias("start"), "end", "_reach")
 
     def part(c: Column) -> Column:
         return F.floor(F.unix_seconds(c) / F.lit(slice_seconds)).cast("long")
 
-    spread = req.withColumn("_slice", F.explode(F.sequence(part(F.col("start")), part(F.col("end")))))
-    inner = (spread.join(gaps.filter("lo is not null").withColumn("_slice", part(F.col("lo"))), [*keys, "_slice"])
-             .filter((F.col("lo") > F.col("start")) & (F.col("lo") < F.col("end")))
-             .select("request", *keys, "start", "end", "lo", "hi"))
-    one = intervals.step_literal(step)
-    begin = F.when(F.col("lo").isNull() | (F.col("start") > F.col("lo")), F.col("start")).otherwise(F.col("lo") + one)
+    # a struct finds keys that are null, too
+    key = F.struct(*keys).alias("_k")
+    spread = asked.select("*", key).withColumn("_slice", F.explode(F.sequence(part(F.col("start")), part(F.col("end")))))
+    # Holes that open inside a request, at its start included.
+    inner = (spread.join(holes.where("lo is not null").select(key, "lo", "hi", part(F.col("lo")).alias("_slice")), ["_k", "_slice"])
+             .where("start <= lo AND lo < end").select("request", *keys, "start", "end", (F.col("lo") + one).alias("s"), "hi"))
+    # The hole that a request starts in may close inside it.
+    begun = spread.where("_reach is null OR _reach < start")
+    closing = opened.select(key, F.col("hi").alias("_hi"), part(F.col("hi")).alias("_slice"))
+    first = (begun.join(closing, ["_k", "_slice"], "left").groupBy("request", *keys, "start", "end")
+             .agg(F.min(F.when((F.col("_hi") > F.col("start")) & (F.col("_hi") <= F.col("end")), F.col("_hi"))).alias("hi"))
+             .select("request", *keys, "start", "end", F.col("start").alias("s"), "hi"))
     stop = F.when(F.col("hi").isNull() | (F.col("hi") > F.col("end")), F.col("end")).otherwise(F.col("hi") - one)
-    return (first.unionByName(inner).select("request", *keys, "start", "end", begin.alias("s"), stop.alias("e"))
-            .filter(F.col("s") <= F.col("e")))
+    return first.unionByName(inner).select("request", *keys, "start", "end", "s", stop.alias("e")).where("s <= e")
 
 
 def trim_tail(ranges: DataFrame, boundary: Column) -> DataFrame:

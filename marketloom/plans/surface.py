@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from marketloom import views
 from marketloom.functions import dialect, preview
 from marketloom.functions import scalar as x
+from marketloom.operators import ranks, series
 from marketloom.plans.registry import query
 
 
@@ -76,16 +77,51 @@ _same("sql_functions_nested",
       """SELECT event_id, json_extract_string(props, '$.k') AS a, json_valid(props) AS b, list_contains(array(event_type, 'x'), 'view') AS c, list_extract(array(event_type, 'z'), 2) AS d,
       named_struct('u', user_id, 't', event_type).t AS e, TRY_CAST(event_type AS DOUBLE) AS f, size(array(1, 2, user_id)) AS g FROM {events}""",
       ("events",))
-_same("sql_functions_aggregate",
+_AGGREGATES = """SELECT o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS custs, round(avg(o_totalprice), 3) AS mean, 
+      round(stddev(o_totalprice), 2) AS sd,
+      round(var_pop(o_totalprice) / 1e6D, 2) AS vp, min_by(o_orderkey, o_totalprice) AS cheapest, max_by(o_orderkey, o_totalprice) AS dearest, bool_and(o_totalprice > 0) AS every,
+      bool_or(o_orderstatus = 'F') AS any_f, array_join(array_sort(collect_set(o_orderstatus)), ',') AS statuses, array_sort(collect_set(o_orderstatus)) AS status_list FROM {orders} GROUP BY 1"""
+
+
+@query("sql_functions_aggregate",
       """SELECT o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS custs, round(avg(o_totalprice), 3) AS mean, median(o_totalprice) AS med,
       round(quantile_cont(o_totalprice, 0.9), 4) AS q90, quantile_disc(o_totalprice, 0.25) AS q25, round(stddev(o_totalprice), 2) AS sd, round(var_pop(o_totalprice) / 1e6, 2) AS vp,
       arg_min(o_orderkey, o_totalprice) AS cheapest, arg_max(o_orderkey, o_totalprice) AS dearest, bool_and(o_totalprice > 0) AS every, bool_or(o_orderstatus = 'F') AS any_f,
-      string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS statuses, list_sort(list(DISTINCT o_orderstatus)) AS status_list FROM orders GROUP BY 1""",
-      """SELECT o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS custs, round(avg(o_totalprice), 3) AS mean, median(o_totalprice) AS med,
-      round(percentile_cont(0.9) WITHIN GROUP (ORDER BY o_totalprice), 4) AS q90, percentile_disc(0.25) WITHIN GROUP (ORDER BY o_totalprice) AS q25, round(stddev(o_totalprice), 2) AS sd,
-      round(var_pop(o_totalprice) / 1e6D, 2) AS vp, min_by(o_orderkey, o_totalprice) AS cheapest, max_by(o_orderkey, o_totalprice) AS dearest, bool_and(o_totalprice > 0) AS every,
-      bool_or(o_orderstatus = 'F') AS any_f, array_join(array_sort(collect_set(o_orderstatus)), ',') AS statuses, array_sort(collect_set(o_orderstatus)) AS status_list FROM {orders} GROUP BY 1""",
-      ("orders",))
+      string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS statuses, list_sort(list(DISTINCT o_orderstatus)) AS status_list FROM orders GROUP BY 1""")
+def sql_functions_aggregate(spark, sf):
+    """Aggregates by SQL; the quantiles by rank selection, which holds no group in one task."""
+    o = _orders(spark, sf)
+    exact = ranks.exact_quantiles(o, ["o_orderpriority"], "o_totalprice", {"med": (0.5, "cont"), "q90": (0.9, "cont"), "q25": (0.25, "disc")})
+    dialect.register(spark)
+    return series.beside(spark.sql(_AGGREGATES, orders=o), exact.withColumn("q90", F.round("q90", 4)), ["o_orderpriority"])
+
+
+@query("quantiles_exact", """SELECT event_type, user_id % 7 AS part, quantile_disc(value, 0.1) AS q10, round(quantile_cont(value, 0.5), 9) AS med, round(quantile_cont(value, 0.995), 9) AS q995,
+      min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2""")
+def quantiles_exact(spark, sf):
+    e = views.table(spark, sf, "events").select("event_type", (F.col("user_id") % 7).alias("part"), "value")
+    out = ranks.exact_quantiles(e, ["event_type", "part"], "value", {"q10": (0.1, "disc"), "med": (0.5, "cont"), "q995": (0.995, "cont"), "low": (0.0, "disc"), "high": (1.0, "disc")})
+    return out.withColumns({c: F.round(c, 9) for c in ("med", "q995")})
+
+
+@query("sketch_rollup", """WITH o AS (SELECT user_id % 5 AS part, value, user_id, row_number() OVER (PARTITION BY user_id % 5 ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY user_id % 5) AS n
+      FROM events WHERE value > 0)
+    SELECT part, max(n) AS n, max(value) FILTER (WHERE r = floor(0.5 * (n - 1))) AS med, max(value) FILTER (WHERE r = floor(0.9 * (n - 1))) AS q90, count(DISTINCT user_id) AS members, TRUE AS within
+    FROM o GROUP BY 1""")
+def sketch_rollup(spark, sf):
+    """Quantiles and distinct users out of day sketches, beside the exact ones: within one in a hundred, or three standard errors."""
+    e = views.table(spark, sf, "events").select((F.col("user_id") % 5).alias("part"), "ts", "value", "user_id")
+    rolled = ranks.roll_up(ranks.day_sketches(e, ["part"], F.to_date("ts"), "value", "user_id"), ["part"], {"_med": 0.5, "_q90": 0.9})
+    above = e.where("value > 0")
+    n = above.groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("members"))
+    ranked = ranks.exact_quantiles(above, ["part"], "value", {"med": (0.5, "low"), "q90": (0.9, "low")})
+    exact = ranked.join(n, "part")
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.01 * F.col(b) + 1e-12
+    close = F.abs(F.col("_members") - F.col("members")) <= F.greatest(F.lit(1.0), 3 * 1.04 / 128 * F.col("members"))
+    both = exact.join(rolled.withColumnsRenamed({"n": "_n", "members": "_members"}), "part")
+    return both.select("part", "n", "med", "q90", "members", (near("_med", "med") & near("_q90", "q90") & close & (F.col("_n") == F.col("n"))).alias("within"))
+
+
 _WINDOW = """SELECT o_orderkey, rank() OVER w AS rk, dense_rank() OVER w AS dr, round(percent_rank() OVER w, 8) AS pr, round(cume_dist() OVER w, 8) AS cd, ntile(4) OVER u AS nt,
     lag(o_totalprice) OVER u AS lg, lead(o_totalprice, 2) OVER u AS ld, first_value(o_totalprice) OVER u AS fv, nth_value(o_totalprice, 2) OVER f AS nv, row_number() OVER u AS rn
     FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderstatus), u AS (PARTITION BY o_custkey ORDER BY o_orderkey),
