@@ -107,3 +107,18 @@ def daily_due(local_now: datetime, finished: set[date]) -> date | None:
     if (local_now.hour, local_now.minute) < (2, 5) or local_now.weekday() in (6, 0):
         return None
     return None if local_now.date() in finished else local_now.date()
+
+
+def newest_complete_week(now: Column) -> Column:
+    """The same Monday as `latest_complete_monday`, of each instant (UTC) of a column."""
+    monday, day = F.date_trunc("week", now).cast("date"), F.weekday(now)
+    return F.when((day < 5) | ((day == 5) & (F.hour(now) < 8)), F.date_sub(monday, 7)).otherwise(monday)
+
+
+def days_due(passes: DataFrame, finished: DataFrame, zone: str = "America/New_York") -> DataFrame:
+    """The exchange-local days that daily passes at `now` (UTC) are due for, each once:
+    after 02:05, Tuesday to Saturday, and not among `finished(day)`."""
+    local = F.from_utc_timestamp("now", zone)
+    open_ = (F.hour(local) * 60 + F.minute(local) >= 125) & F.weekday(local).between(1, 5)
+    days = passes.filter(open_).select(F.to_date(local).alias("day")).distinct()
+    return days.join(finished.select("day"), "day", "left_anti")

@@ -205,6 +205,19 @@ def receipt(kind: str, ctx: Context, manifest: DataFrame, request_id: str, finge
         F.current_timestamp().alias("at"))
 
 
+# --- relations --------------------------------------------------------------------
+
+
+def relation_detail(rows: DataFrame, relation: str, layer: str, kind: str, keys: tuple[str, ...], modes: tuple[str, ...]) -> DataFrame:
+    """One row per column of a relation, in order, with its type, whether it is a key, the
+    modes that the relation answers, and the exact number of rows."""
+    columns = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"),
+                                 F.lit(f.name in keys).alias("is_key")) for i, f in enumerate(rows.schema.fields, 1)])
+    counted = rows.agg(F.count("*").alias("rows"))
+    return counted.select(F.lit(relation).alias("relation"), F.lit(layer).alias("layer"), F.lit(kind).alias("kind"),
+                          F.lit(",".join(modes)).alias("modes"), "rows", F.inline(columns))
+
+
 # --- projections ------------------------------------------------------------------
 
 #: Model -> view, parameters as (name, type, required), modes it answers (fixed values).

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FAMILIES = ("bars", "technical", "joins", "ranges", "bitemporal", "shaping", "tables", "quality",
-            "streams", "live_state", "surface")
+            "streams", "live_state", "evidence", "surface")
 
 
 def _load() -> None:

@@ -49,8 +49,10 @@ def normalize_dates(df: DataFrame, column: str | None = None) -> DataFrame:
         by_type = next((f.name for f in df.schema.fields if isinstance(
             f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))), None)
         texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-        column = by_name or by_type or next(
-            (c for c in texts if df.select(F.bool_and(F.try_to_timestamp(c).isNotNull() | F.col(c).isNull())).first()[0]), None)
+        column = by_name or by_type
+        if column is None and texts:  # one pass types all text columns
+            reads = df.agg(*[(F.bool_and(F.try_to_timestamp(c).isNotNull() | F.col(c).isNull()) & (F.count(c) > 0)).alias(c) for c in texts]).first()
+            column = next((c for c in texts if reads[c]), None)
     if column is None:
         return df
     kind = df.schema[column].dataType
