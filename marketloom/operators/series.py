@@ -190,11 +190,16 @@ class Recurrence:
 
     `source` maps the columns known so far (name -> float array) to the input;
     nulls (NaN) are skipped and stay null. The first non-null input seeds it.
+    `column` names the input column where the source is one; `of` says, as (recurrence,
+    factor) pairs, that the source is that sum of recurrences. Sums of recurrences over one
+    column form a linear system, which is folded at once however deep it is.
     """
 
     out: str
     alpha: float
     source: Callable[[dict[str, np.ndarray]], np.ndarray] = field(compare=False)
+    column: str | None = None
+    of: tuple[tuple[str, float], ...] = ()
 
 
 def _smooth(x: np.ndarray, alpha: float, start: float | None) -> np.ndarray:
@@ -214,36 +219,52 @@ def _arrays(table: pa.Table, names: Iterable[str]) -> dict[str, np.ndarray]:
     return {n: table[n].cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float) for n in names}
 
 
-def _affine(table: pa.Table, rec: Recurrence, known: list[Recurrence], inputs: list[str],
-            rows_per_part: int, lookback: int) -> tuple[float, float, float, int]:
-    """(slope, offset, seeded end, inputs used) of `rec` over one part's span.
-
-    A part spans from just after its first halo row to the row that is the
-    first halo row of the next part, so spans tile the series.
-    """
-    cols, part = _run(table, known, inputs, lookback)
-    pos = table[POS].to_numpy()
-    stop = (part + 1) * rows_per_part - lookback
-    first = 0 if part == 0 else part * rows_per_part - lookback + 1
-    x = rec.source(cols)[(pos >= first) & (pos <= stop)]
-    m = int((~np.isnan(x)).sum())
-    zero = _smooth(x, rec.alpha, 0.0)
-    seeded = _smooth(x, rec.alpha, None)
-    ok = ~np.isnan(zero)
-    if not m:
-        return 1.0, 0.0, np.nan, 0
-    return (1.0 - rec.alpha) ** m, float(zero[ok][-1]), float(seeded[ok][-1]), m
-
-
-def _run(table: pa.Table, recs: list[Recurrence], inputs: list[str],
+def _passes(levels: list[list[Recurrence]]) -> list[list[list[Recurrence]]]:
+    """Recurrences as linear systems, by pass. A source that is no linear sum waits for the
+    pass after all earlier levels."""
+    passes: list[list[list[Recurrence]]] = []
+    home: dict[str, tuple[int, list[Recurrence]]] = {}
+    for n, level in enumerate(levels):
+        earlier = 1 + max((home[r.out][0] for before in levels[:n] for r in before), default=-1)
+        for r in level:
+            parents = [home[name] for name, _ in r.of if name in home]
+            column = {x.column for _, system in parents for x in system}
+            if parents and len(parents) == len(r.of) and len({p for p, _ in parents}) == 1 and len(column) == 1 and None not in column:
+                at = parents[0][0]
+                joined = list({id(s): s for _, s in parents}.values())
+                system = [x for s in joined for x in s] + [replace(r, column=column.pop())]
+                passes[at] = [s for s in passes[at] if not any(s is x for x in joined)] + [system]
+                home |= {x.out: (at, system) for x in system}
+                continue
+            while len(passes) <= earlier:
+                passes.append([])
+            passes[earlier].append([r])
+            home[r.out] = earlier, passes[earlier][-1]
+    return passes
+
+
+def _matrix(system: list[Recurrence]) -> np.ndarray:
+    """What one input of zero makes of a system's values."""
+    rows: dict[str, np.ndarray] = {}
+    for n, r in enumerate(system):
+        rows[r.out] = (1.0 - r.alpha) * np.eye(len(system))[n] + r.alpha * sum((f * rows[name] for name, f in r.of), np.zeros(len(system)))
+    return np.array(list(rows.values()))
+
+
+def _last(y: np.ndarray) -> float | None:
+    ok = np.flatnonzero(~np.isnan(y))
+    return float(y[ok[-1]]) if len(ok) else None
+
+
+def _run(table: pa.Table, recs: list[Recurrence], inputs: list[str], starts: dict[str, float | None],
          lookback: int) -> tuple[dict[str, np.ndarray], int]:
-    """Evaluate `recs` over a part sorted by position, from the joined-in starts."""
+    """Evaluate `recs` over a part sorted by position, from the given starts."""
     cols = _arrays(table, inputs)
     part = int(table[PART][0].as_py())
     skip = 0 if part == 0 else 1
     for r in recs:
         x = r.source(cols)
-        start = table[f"_s_{r.out}"][0].as_py()
+        start = starts[r.out]
         y = np.full(len(x), np.nan)
         y[skip:] = _smooth(x[skip:], r.alpha, start)
         if skip:
@@ -252,20 +273,40 @@ def _run(table: pa.Table, recs: list[Recurrence], inputs: list[str],
     return cols, part
 
 
-def _part_map(keys: list[str], level: list[Recurrence], known: list[Recurrence],
-              inputs: list[str], size: int, lookback: int) -> Callable[[pa.Table], pa.Table]:
-    def reduce_part(table: pa.Table) -> pa.Table:
+def _starts(row: pa.Table, recs: list[Recurrence]) -> dict[str, float | None]:
+    return {r.out: row[f"_s_{r.out}"][0].as_py() for r in recs}
+
+
+def _part_map(keys: list[str], systems: list[list[Recurrence]], known: list[Recurrence],
+              inputs: list[str], size: int, lookback: int) -> Callable[..., pa.Table]:
+    """Per recurrence, what a part makes of a zero start and of none, and how many inputs it has.
+
+    A part spans from just after its first halo row to the row that is the first halo
+    row of the next part, so spans tile the series.
+    """
+
+    def reduce_given(table: pa.Table, given: pa.Table | None) -> pa.Table:
         table = table.sort_by(POS)
+        cols, part = _run(table, known, inputs, _starts(given, known) if known else {}, lookback)
+        pos = table[POS].to_numpy()
+        first = 0 if part == 0 else part * size - lookback + 1
+        span = (pos >= first) & (pos <= (part + 1) * size - lookback)
+        zero = {n: v[span] for n, v in cols.items()}
+        fresh = dict(zero)
         row = {k: table[k].slice(0, 1) for k in [*keys, PART]}
-        for r in level:
-            a, c, s, m = _affine(table, r, known, inputs, size, lookback)
-            row[f"_a_{r.out}"] = pa.array([a])
-            row[f"_b_{r.out}"] = pa.array([c])
-            row[f"_z_{r.out}"] = pa.array([None if np.isnan(s) else s], pa.float64())
-            row[f"_m_{r.out}"] = pa.array([m], pa.int64())
+        for r in (r for s in systems for r in s):
+            x = r.source(zero)
+            many = int((~np.isnan(x)).sum())
+            zero[r.out], fresh[r.out] = _smooth(x, r.alpha, 0.0), _smooth(r.source(fresh), r.alpha, None)
+            row[f"_b_{r.out}"] = pa.array([_last(zero[r.out])], pa.float64())
+            row[f"_z_{r.out}"] = pa.array([_last(fresh[r.out])], pa.float64())
+            row[f"_m_{r.out}"] = pa.array([many], pa.int64())
         return pa.table(row)
 
-    return reduce_part
+    def reduce_part(table: pa.Table) -> pa.Table:
+        return reduce_given(table, None)
+
+    return reduce_given if known else reduce_part
 
 
 def beside(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -275,20 +316,23 @@ def beside(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.join(other, same, "left").drop(*[f"_r_{c}" for c in on])
 
 
-def _fold(keys: list[str], names: list[str]) -> Callable[[pa.Table], pa.Table]:
+def _fold(keys: list[str], systems: list[list[Recurrence]]) -> Callable[[pa.Table], pa.Table]:
     """Starts of every part of a key; one row per part, so the group stays small."""
+    matrices = [_matrix(s) for s in systems]
 
     def fold(table: pa.Table) -> pa.Table:
         table = table.sort_by(PART)
         out = {k: table[k] for k in [*keys, PART]}
-        for n in names:
-            a, b, z, m = (table[f"_{x}_{n}"].to_pylist() for x in "abzm")
+        for system, matrix in zip(systems, matrices, strict=True):
+            b, z = (np.array([table[f"_{x}_{r.out}"].to_pylist() for r in system], float).T for x in "bz")
+            many = table[f"_m_{system[0].out}"].to_pylist()
             y, begins = None, []
-            for i in range(len(a)):
-                begins.append(y)
-                if m[i]:
-                    y = z[i] if y is None else a[i] * y + b[i]
-            out[f"_s_{n}"] = pa.array(begins, pa.float64())
+            for i, m in enumerate(many):
+                begins.append([None] * len(system) if y is None else y.tolist())
+                if m:
+                    y = z[i] if y is None else np.linalg.matrix_power(matrix, m) @ y + b[i]
+            for r, values in zip(system, zip(*begins, strict=True), strict=True):
+                out[f"_s_{r.out}"] = pa.array(values, pa.float64())
         return pa.table(out)
 
     return fold
@@ -296,45 +340,41 @@ def _fold(keys: list[str], names: list[str]) -> Callable[[pa.Table], pa.Table]:
 
 def recurrences(ext: DataFrame, layout: Layout, lookback: int, inputs: list[str],
                 levels: list[list[Recurrence]]) -> DataFrame:
-    """Add every recurrence to a `parts` frame, exactly, level by level.
+    """Add every recurrence to a `parts` frame, exactly.
 
-    A level may read the outputs of earlier levels. Each level costs one pass
-    that reduces every part to its affine map, and a fold over the parts of a
-    key; all passes read parts that were written once.
+    A level may read the outputs of earlier levels. A pass reduces every part to what it
+    does to the values it starts from, and folds these few rows over the parts of a key;
+    linear sums of recurrences share their pass. Nothing runs until the result is asked
+    for, and all passes read the shuffle that made the parts.
     """
-    ext = settle(ext, "parts")
-    keys = list(layout.keys)
-    size = layout.rows_per_part
-    key_schema = ", ".join(f"`{k}` {ext.schema[k].dataType.simpleString()}" for k in keys)
+    keys, size = list(layout.keys), layout.rows_per_part
+    key_schema = ", ".join(f"`{k}` {ext.schema[k].dataType.simpleString()}" for k in keys) + f", {PART} bigint, "
+    group = [*keys, PART]
     starts: DataFrame | None = None
     known: list[Recurrence] = []
-    source = ext
-    for level in levels:
-        names = [r.out for r in level]
-
-        map_schema = key_schema + f", {PART} bigint, " + ", ".join(
-            f"`_a_{n}` double, `_b_{n}` double, `_z_{n}` double, `_m_{n}` bigint" for n in names)
-        maps = source.groupBy(*keys, PART).applyInArrow(
-            _part_map(keys, list(level), list(known), inputs, size, lookback), map_schema)
-        fold_schema = key_schema + f", {PART} bigint, " + ", ".join(f"`_s_{n}` double" for n in names)
-        folded = maps.groupBy(*keys).applyInArrow(_fold(keys, names), fold_schema)
-        starts = settle(folded if starts is None else beside(starts, folded, [*keys, PART]), "starts")
-        known = known + list(level)
-        source = beside(ext, starts, [*keys, PART])
+    for systems in _passes(levels):
+        recs = [r for s in systems for r in s]
+        map_schema = key_schema + ", ".join(f"`_b_{r.out}` double, `_z_{r.out}` double, `_m_{r.out}` bigint" for r in recs)
+        reduce_part = _part_map(keys, systems, list(known), inputs, size, lookback)
+        if starts is None:
+            maps = ext.groupBy(*group).applyInArrow(reduce_part, map_schema)
+        else:
+            maps = ext.groupBy(*group).cogroup(starts.groupBy(*group)).applyInArrow(reduce_part, map_schema)
+        folded = maps.groupBy(*keys).applyInArrow(_fold(keys, systems), key_schema + ", ".join(f"`_s_{r.out}` double" for r in recs))
+        starts = folded if starts is None else beside(starts, folded, group)
+        known = known + recs
 
-    def emit(table: pa.Table) -> pa.Table:
+    def emit(table: pa.Table, given: pa.Table) -> pa.Table:
         table = table.sort_by(POS)
-        cols, _ = _run(table, known, inputs, lookback)
-        table = table.drop_columns([f"_s_{r.out}" for r in known])
+        cols, _ = _run(table, known, inputs, _starts(given, known), lookback)
         for r in known:
             table = table.append_column(r.out, pa.array(cols[r.out], from_pandas=True))
         return table
 
     # Arrow grouped maps keep the columns in order; the schema says so.
-    ordered = source.select(*ext.columns, *[f"_s_{r.out}" for r in known])
     schema = T.StructType([*ext.schema.fields,
                            *[T.StructField(r.out, T.DoubleType()) for r in known]])
-    return ordered.groupBy(*keys, PART).applyInArrow(emit, schema)
+    return ext.groupBy(*group).cogroup(starts.groupBy(*group)).applyInArrow(emit, schema)
 
 
 # --- path-dependent loops ----------------------------------------------------
