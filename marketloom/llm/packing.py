@@ -1,11 +1,12 @@
 """Sum-of-squares packing: documents become token pieces, pieces fill sequences.
 
 Each piece goes where the sum, over residual gaps, of the squared number of open bins
-with that gap becomes smallest; a new bin is one of the choices. Pieces come in the order
-of their checksums, which is as good as random and the same on every run. A piece as long
-as a sequence fills one alone. The pieces are dealt at random into
-groups of about `group` pieces, and each group is packed by one task: it costs at most
-the few bins that each group leaves open, and no task or driver sees all pieces.
+with that gap becomes smallest; a new bin is one of the choices. Pieces come longest first,
+which leaves the fewest bins; pieces of one length come in the order of their checksums. A
+piece as long as a sequence fills one alone. The pieces are dealt by hash into groups of
+about `group` pieces, and each group is packed by one task: it costs at most the few bins
+that each group leaves open, and no task or driver sees all pieces. Within a group the
+places are the same on every run.
 
 Null and empty texts are one piece holding the end id alone. Repeated rows are packed
 as often as they occur. An empty table gives no rows. Columns beside the id and the
@@ -39,8 +40,8 @@ class WordTokens:
     space and never joins what white space parts, nor letters and the stops after them,
     so a text's ids are its words' ids in a row."""
 
-    SLOTS = 21  # 2**21 slots; a word sits in one of two, a newer word may take its place
-    MOST_IDS = 6_000_000  # ids remembered; beyond that the memory starts anew
+    SLOTS = 20  # 2**20 slots; a word sits in one of two, a newer word may take its place
+    MOST_IDS = 2_000_000  # ids remembered; beyond that the memory starts anew
     _made: dict[str, "WordTokens"] = {}
 
     def __init__(self, path: str):
@@ -191,7 +192,7 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 def _pack(length: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         size = table["length"].to_numpy()
-        order = np.lexsort((table["piece"].to_numpy(), table["doc_id"].fill_null(-1).to_numpy(), table["ids_crc32"].to_numpy()))
+        order = np.lexsort((table["piece"].to_numpy(), table["doc_id"].fill_null(-1).to_numpy(), table["ids_crc32"].to_numpy(), -size))
         bins, offsets = sum_of_squares(size[order], length)
         table = table.take(pa.array(order))
         return pa.table([*(table[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array((key[0].as_py() << 32) + bins), pa.array(offsets)],
