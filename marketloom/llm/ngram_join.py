@@ -86,7 +86,7 @@ def _members(n: int):
             for a, b, data, offsets in T.chunks(batch):
                 seen = True
                 token, bounds = shingle_sets(data, offsets, n)
-                counts += np.bincount((token >> _U(63 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+                np.add.at(counts, (token >> _U(63 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
                 for c in range(a, b, 2000):
                     d = min(c + 2000, b)
                     part = bounds[c - a:d - a + 1]
