@@ -1,15 +1,17 @@
 """Two-pass external shuffle into shards.
 
-Pass one scatters the rows over buckets by a seeded hash; a count of rows and bytes per
-hash cell (a fixed number of cells) sets the buckets, neighbouring cells of at most
-`bucket_bytes` together, and says how many rows lie before each. Pass two sorts each
-bucket by content, so that a rerun meets the same order, and shuffles it in memory by
-Fisher and Yates under a seed of its own. A row's place in the whole is its place in the
-bucket plus the rows before; place modulo shards is its shard, the quotient its slot.
+Pass one scatters the rows uniformly over buckets by a seeded hash. There are as many
+buckets as the bytes of all rows ask for, so a bucket stays near `bucket_bytes` at any size
+of the table; counts per bucket, summed in two levels, say how many rows lie before each.
+Pass two sorts each bucket by content, so that a rerun meets the same order, and shuffles
+it in memory by Fisher and Yates under a seed of its own. A row's place in the whole is its
+place in the bucket plus the rows before; place modulo shards is its shard, the quotient
+its slot.
 
 Law `rows`: shard counts differ by one at most, slots have no gaps. A null or empty text
-has size 1. Repeated rows are rows of their own. An empty table gives no rows. One cell
-of equal hashes larger than a bucket (copies of one row) makes a larger bucket.
+has size 1. Repeated rows are rows of their own; copies of one id and text share a bucket,
+and only they, or one very long text, make a larger one. An empty table gives no rows.
+Columns besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OUT = "doc_id long, text string, size long, text_crc32 long, shard int, slot long"
@@ -45,28 +47,22 @@ def _deal(shards: int, seed: int):
     return run
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 7, bucket_bytes: int = 16 << 20, cell_bits: int = 16) -> DataFrame:
+def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 7, bucket_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, text, size, text_crc32, shard and slot of every row."""
-    spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(
         "doc_id", "text", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         # the third part tells apart rows that repeat one id; equal rows stay together
         F.xxhash64(F.lit(seed), "doc_id", text).alias("h"))
-    cell = F.shiftrightunsigned("h", 64 - cell_bits).cast("int")
-    # at most 2**cell_bits rows whatever the input
-    cells = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).orderBy("cell").toArrow()
-    n, size = cells["n"].to_numpy(), cells["bytes"].to_numpy()
-    bucket, held = np.zeros(len(n), np.int64), 0
-    for i in range(len(n)):
-        new = i and held + size[i] > bucket_bytes
-        bucket[i] = bucket[i - 1] + new if i else 0
-        held = size[i] if new else held + size[i]
-    first = np.flatnonzero(np.diff(bucket, prepend=-1))
-    before = (np.cumsum(n) - n)[first][bucket] if len(n) else n
-    plan = spark.createDataFrame(pa.table({"cell": cells["cell"], "bucket": pa.array(bucket), "before": pa.array(before, pa.int64())}))
-    placed = rows.withColumn("cell", cell).join(F.broadcast(plan), "cell").drop("cell")  # fixed size: 2**cell_bits rows
-    return placed.groupBy("bucket").applyInArrow(_deal(shards, seed), OUT)
+    buckets = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // bucket_bytes))
+    rows = rows.withColumn("bucket", F.shiftright(F.shiftrightunsigned("h", 33) * F.lit(buckets), 31))
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("block", F.shiftright("bucket", 12))
+    earlier = (Window.unboundedPreceding, -1)
+    blocks = counts.groupBy("block").agg(F.sum("n").alias("n"))  # one row per 4,096 buckets
+    blocks = blocks.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(*earlier)), F.lit(0)).alias("ahead"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("block").orderBy("bucket").rowsBetween(*earlier)), F.lit(0))
+    plan = counts.withColumn("inside", inside).join(blocks, "block").select("bucket", (F.col("ahead") + F.col("inside")).alias("before"))
+    return rows.join(plan, "bucket").groupBy("bucket").applyInArrow(_deal(shards, seed), OUT)
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
