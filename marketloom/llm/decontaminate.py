@@ -1,8 +1,9 @@
 """Benchmark decontamination by templates, so that re-parameterised items are found too.
 
-A text becomes tokens: words without the punctuation around them, A-Z and Latin-1 capitals
-folded; tokens of punctuation alone vanish. It is read four ways: as spelled; with numbers
-and units as typed placeholders; with capitalised words that open no sentence as names
+A text becomes tokens: words without the punctuation around them, folded to small letters
+(A-Z and all scripts below U+0800); tokens of punctuation alone vanish. It is read four
+ways: as spelled; with numbers, in digits or in words of four languages, and units as typed
+placeholders; with capitalised words that open no sentence as names
 too; with capitalised words that open one as names as well. Names side by side, and a
 number with its unit, are one placeholder, whose joined spelling is its slot value.
 Windows of `width` tokens of each reading are joined by hash with those of the benchmark; a
@@ -17,12 +18,15 @@ of its tokens in all (or the whole of a shorter item) and the slots are consiste
 of the item always became one value of the document (windows as spelled have no slots).
 Items of fewer than `width` tokens are found as spelled, whole, in any capitals. Null and
 empty texts hold nothing; repeated rows are each reported; an empty benchmark leaves every
-document alone.
+document alone; an empty table gives no rows. Columns besides ids and texts are carried
+along as they are, whatever their names. Equal windows tie without effect: all are laid.
+A text of any length is held whole by one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,15 @@ _U = np.uint64
 UNITS = ("%", "$", "€", "£", "mm", "cm", "m", "km", "inch", "inches", "ft", "feet", "yards", "mile", "miles", "mg", "g", "kg", "lb", "lbs", "pounds", "tons",
          "ml", "l", "liter", "liters", "litres", "gallons", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month",
          "months", "year", "years", "dollar", "dollars", "euro", "euros", "cents", "percent", "degrees", "mph", "kmh", "watts", "volts")
+#: Number words; those that are articles, too, are left out.
+NUMBERS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen",
+           "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million",
+           "null", "eins", "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun", "zehn", "elf", "zwölf", "zwanzig", "dreißig", "vierzig", "fünfzig", "sechzig", "siebzig", "achtzig",
+           "neunzig", "hundert", "tausend",
+           "zéro", "deux", "trois", "quatre", "cinq", "sept", "huit", "neuf", "dix", "onze", "douze", "treize", "quatorze", "quinze", "seize", "vingt", "trente", "quarante",
+           "cinquante", "soixante", "cent", "mille",
+           "cero", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve", "diez", "once", "doce", "trece", "catorce", "quince", "veinte", "treinta", "cuarenta", "cincuenta",
+           "sesenta", "setenta", "ochenta", "noventa", "cien", "ciento", "mil")
 NUMBER, NAME, UNIT = (_U(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x6A09E667F3BCC909))
 #: The readings of a text, the surest first; shifts that far apart are neighbours.
 SPELLED, COUNTED, PLACED, OPENED = range(4)
@@ -47,27 +60,51 @@ _CORE = _DIGIT | _CAPITAL | ((_B >= 97) & (_B <= 122)) | (_B >= 128) | np.isin(_
 _CLOSES = np.isin(_B, np.frombuffer(b".!?:", np.uint8))
 
 
+def _small(code: int) -> int:
+    """The small letter of a character that takes two bytes, where it takes two as well."""
+    low = chr(code).lower()
+    return ord(low) if len(low) == 1 and 0x80 <= ord(low) < 0x800 else code
+
+
+#: By code point below U+0800: small letter, and whether it is a capital.
+SMALL = np.array([_small(c) for c in range(0x800)])
+LARGE = np.array([chr(c).isupper() for c in range(0x800)])
+
+
+def _two_bytes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points of the two-byte characters that begin at `at`."""
+    return (data[at].astype(np.int64) & 0x1F) << 6 | (data[at + 1].astype(np.int64) & 0x3F)
+
+
 def _fold(data: np.ndarray) -> np.ndarray:
     out = np.where(_CAPITAL[data], data + 32, data).astype(np.uint8)
-    second = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1 if len(data) else np.zeros(0, np.int64)
-    out[second] += 32
+    at = np.flatnonzero((data[:-1] >= 0xC2) & (data[:-1] <= 0xDF)) if len(data) else np.zeros(0, np.int64)
+    small = SMALL[_two_bytes(data, at)]
+    out[at], out[at + 1] = 0xC0 | small >> 6, 0x80 | small & 0x3F
     return out
 
 
-def _unit_names() -> np.ndarray:
-    spelled = [u.encode() for u in UNITS]
+@cache
+def _named(words: tuple[str, ...]) -> np.ndarray:
+    """Names of some spelled tokens, in order."""
+    spelled = [u.encode() for u in words]
     ends = np.cumsum([len(u) for u in spelled])
     return np.sort(T.byte_roll(np.frombuffer(b"".join(spelled), np.uint8)).span(np.concatenate([[0], ends[:-1]]), ends))
 
 
+def _among(spelled: np.ndarray, words: tuple[str, ...]) -> np.ndarray:
+    known = _named(words)
+    return known[np.minimum(np.searchsorted(known, spelled), len(known) - 1)] == spelled
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray):
-    """Folded spelling, number, unit, capital, opener and glue of each token, and the first
-    token of each text. An opener stands first in a text, line or sentence; a token is glued
+    """Folded spelling, number, number word, unit, capital, opener and glue of each token, and
+    the first token of each text. An opener stands first in a text, line or sentence; a token is glued
     to the one before it if neither an opening nor a mark stands between them."""
     starts, ends, first = T.words(data, offsets)
     if not len(starts):
         none = np.zeros(0, bool)
-        return np.zeros(0, _U), none, none, none, none, none, first
+        return np.zeros(0, _U), none, none, none, none, none, none, first
     core, at = _CORE[data], np.arange(len(data))
     opens = np.minimum.accumulate(np.where(core, at, len(data))[::-1])[::-1][starts]
     closes = np.maximum.accumulate(np.where(core, at, -1))[ends - 1] + 1
@@ -79,20 +116,22 @@ def tokens(data: np.ndarray, offsets: np.ndarray):
     glued = np.zeros(len(starts), bool)
     glued[1:] = inner[1:] & solid[:-1] & (opens[1:] == starts[1:]) & (closes[:-1] == ends[:-1])
     a, b = opens[solid], closes[solid]
-    latin = (data[a] == 0xC3) & (data[np.minimum(a + 1, len(data) - 1)] <= 0x9E)
+    wide = np.flatnonzero((data[a] >= 0xC2) & (data[a] <= 0xDF))
+    large = _CAPITAL[data[a]]
+    large[wide] = LARGE[_two_bytes(data, a[wide])]
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     spelled = T.byte_roll(_fold(data)).span(a, b)
-    known = _unit_names()
-    number = _DIGIT[data[a]] | (((data[a] == 36)) & (digits[b] > digits[a]))
-    unit = ~number & (known[np.minimum(np.searchsorted(known, spelled), len(known) - 1)] == spelled)
-    capital = (_CAPITAL[data[a]] | latin) & ~number & ~unit
-    return spelled, number, unit, capital, ~inner[solid], glued[solid], np.concatenate([[0], np.cumsum(solid)])[first]
+    worded = _among(spelled, NUMBERS)
+    number = _DIGIT[data[a]] | (((data[a] == 36)) & (digits[b] > digits[a])) | worded
+    unit = ~number & _among(spelled, UNITS)
+    capital = large & ~number & ~unit
+    return spelled, number, worded, unit, capital, ~inner[solid], glued[solid], np.concatenate([[0], np.cumsum(solid)])[first]
 
 
-def _collapsed(number: np.ndarray, unit: np.ndarray, name: np.ndarray, glued: np.ndarray) -> np.ndarray:
-    """The first token of each run: names side by side and a number with its unit are one."""
+def _collapsed(number: np.ndarray, worded: np.ndarray, unit: np.ndarray, name: np.ndarray, glued: np.ndarray) -> np.ndarray:
+    """The first token of each run: names or number words side by side and a number with its unit are one."""
     more = np.zeros(len(glued), bool)
-    more[1:] = glued[1:] & ((name[1:] & name[:-1]) | (unit[1:] & number[:-1]))
+    more[1:] = glued[1:] & ((name[1:] & name[:-1]) | (worded[1:] & worded[:-1]) | (unit[1:] & number[:-1]))
     return np.flatnonzero(~more)
 
 
@@ -105,7 +144,7 @@ def _windows(width: int, literals: int, wanted: np.ndarray | None, short: tuple[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in T.chunks(batch):
-                spelled, number, unit, capital, opener, glued, first = tokens(data, offsets)
+                spelled, number, worded, unit, capital, opener, glued, first = tokens(data, offsets)
                 n = len(spelled)
                 if not n:
                     continue
@@ -119,7 +158,7 @@ def _windows(width: int, literals: int, wanted: np.ndarray | None, short: tuple[
                         head, value, slot, heads = np.arange(n), spelled, np.zeros(n, _U), first
                         special = None
                     else:
-                        head = _collapsed(number, unit, name, glued)
+                        head = _collapsed(number, worded, unit, name, glued)
                         kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, spelled)))[head]
                         ordinary = ~(number | unit | name)[head]
                         value, heads = kind, np.searchsorted(head, first)

@@ -23,7 +23,7 @@ def test_leaks(spark):
     rows = [(1, "Before. " + ITEM + ". After it all."), (2, "x y z\n" + other.replace(" ", "\t  ") + "!"), (3, torn), (4, None), (5, ""), (6, "words of prose " * 500),
             (7, ITEM[:45]), (8, SHORT), (9, "So, " + SHORT.upper()), (10, "prose " * 4000 + other), (None, other), (12, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15"),
             (13, ITEM.replace("apples", "pears"))]
-    assert found(spark, rows) == {1: [1], 2: [1], 8: [2], 10: [1], None: [1], 13: [1]} | ({} if 9 not in found(spark, rows) else {9: [2]})
+    assert found(spark, rows) == {1: [1], 2: [1], 8: [2], 9: [2], 10: [1], None: [1], 13: [1]}
 
 
 RIVER = "Which river flows through Paris?"
@@ -49,6 +49,59 @@ def test_values_of_other_lengths_and_sentence_openers(spark):
     assert found(spark, rows, items) == {1: [5], 2: [5], 3: [6], 4: [6], 6: [7], 7: [5], 8: [7]}
 
 
+NAMES = {"latin": ["Anna", "Jean Paul", "Maria de Lourdes".replace(" de", ""), "Özlem", "Łukasz"], "cyrillic": ["Рита", "Иван Петров", "Ольга"], "greek": ["Ελένη", "Νίκος Παππάς"]}
+SPOKEN = ["two", "seven", "twelve", "ninety", "twenty one", "three hundred", "zwölf", "trente", "cuarenta", "cinq"]
+MEASURES = ["5 kg", "70 miles", "3 litres", "12 cm", "9 euros"]
+KINDS = ("digits", "number words", "latin", "cyrillic", "greek", "units", "all")
+
+
+def parameterised(r, kind):
+    """An item's template, and two fillings that differ in what the kind says."""
+    plain = [w for w in ("the old farmer carried baskets along a narrow road before evening while others waited near gate and nobody asked why it took so long to "
+                         "reach town again after heavy rain had washed away most of that wooden bridge").split()]
+    words = [r.choice(plain) for _ in range(r.randrange(24, 36))]
+    many = r.randrange(2, 4)
+    slots = sorted(r.sample(range(3, len(words) - 2), many))
+    own = ["{%d}" % (i % 2) for i in range(many)]
+    for at, s in zip(slots, own):
+        words[at] = s
+    text = " ".join(words)
+
+    def fill(which):
+        values = []
+        for i in range(2):
+            use = which if which != "all" else ("digits", r.choice(("latin", "cyrillic")))[i]
+            values.append({"digits": lambda: str(r.randrange(2, 9000)), "number words": lambda: r.choice(SPOKEN), "units": lambda: r.choice(MEASURES)}.get(
+                use, lambda: r.choice(NAMES[use]))())
+        return text.format(*values) if len(set(values)) == 2 else fill(which)
+
+    first = {"number words": "digits", "units": "units", "all": "all"}.get(kind, kind)
+    first = "latin" if first in NAMES else first
+    item, copy = fill(first), fill(kind)
+    return (item, copy) if item != copy else parameterised(r, kind)
+
+
+def test_recall_on_reparameterised_items(spark):
+    """At least nine in ten of each kind; texts made of the same words in another order hold nothing."""
+    r = random.Random(12)
+    items, rows, kinds = [], [], {}
+    for kind in KINDS:
+        for _ in range(60):
+            item, copy = parameterised(r, kind)
+            n = len(items)
+            items.append((n, item))
+            rows.append((n, "It was said: " + copy + " and so on."))
+            kinds[n] = kind
+            shuffled = copy.split()
+            r.shuffle(shuffled)
+            rows.append((100_000 + n, " ".join(shuffled)))
+    got = found(spark, rows, items)
+    recall = {k: sum(n in got.get(n, []) for n in kinds if kinds[n] == k) / 60 for k in KINDS}
+    assert min(recall.values()) >= 0.9, recall
+    assert sum(len([i for i in hits if i != d]) for d, hits in got.items()) == 0, got
+    print("recall", recall)
+
+
 def test_inconsistent_slots_are_no_leak(spark):
     text = ITEM.replace("to Maria", "to Ada").replace("then Maria", "then Eve")
     assert found(spark, [(1, text)]) == {}
