@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import scalar as x
 from marketloom.operators import asof
+from marketloom.operators.series import Layout
 from marketloom.operators.topk import latest
 
 # --- field maps: output -> (path, kind) (fixed values) ------------------------------------
@@ -247,10 +248,10 @@ def statements(landed: DataFrame, statement: str = "income", period: str = "annu
     """
     section, names = STATEMENTS[statement]
     bucket = "yearly" if period == "annual" else "quarterly"
-    head = landed.select(F.upper("symbol").alias("symbol"),
-                         F.get_json_object("payload", "$.General.FiscalYearEnd").alias("_fye"),
-                         F.explode(F.from_json(F.get_json_object("payload", f"$.Financials.{section}.{bucket}"),
-                                               "map<string,map<string,string>>")).alias("_key", "_items"))
+    # one parse of a body serves both paths
+    head = documents(landed).select("symbol", F.try_variant_get("doc", "$.General.FiscalYearEnd", "string").alias("_fye"),
+                                    F.explode(F.try_variant_get("doc", f"$.Financials.{section}.{bucket}",
+                                                                "map<string,map<string,string>>")).alias("_key", "_items"))
     head = head.withColumn("_date", F.try_element_at("_items", F.lit("date")))
     if limit:
         from marketloom.operators.topk import newest
@@ -319,10 +320,19 @@ def price_target(landed: DataFrame) -> DataFrame:
 
 
 def institutional_ownership(landed: DataFrame) -> DataFrame:
-    """Dated positions with their rank by shares held among the symbol's, nulls as zero, ties by name."""
+    """Dated positions with their rank by shares held among the symbol's, nulls as zero, ties by name.
+
+    The places come from one sort of all rows, so a symbol of many holders is no task of its own.
+    """
+    from marketloom.operators.topk import placed
+
     held = pick(entries(landed, "Holders.Institutions"), HOLDERS).filter("date is not null")
-    place = Window.partitionBy("symbol").orderBy(F.coalesce("current_shares", F.lit(0.0)).desc(), "name", "date")
-    return held.withColumn("rank", F.rank().over(place))
+    order = {"symbol": F.col("symbol"), "_weight": -F.coalesce("current_shares", F.lit(0.0)), "name": F.col("name"), "date": F.col("date")}
+    rows = placed(held.withColumn("_weight", order["_weight"]), [F.col(c).asc_nulls_first() for c in order], "_place")
+    first = rows.groupBy("symbol").agg(F.min("_place").alias("_first"))
+    ties = Window.partitionBy(*order)  # positions alike in all of these share a rank
+    return rows.withColumn("_place", F.min("_place").over(ties)).join(first, "symbol").select(
+        *held.columns, (F.col("_place") - F.col("_first") + 1).alias("rank"))
 
 
 def ownership(landed: DataFrame) -> DataFrame:
@@ -583,7 +593,8 @@ def yield_curve(rates: DataFrame, wanted: DataFrame) -> DataFrame:
                          F.array(*[F.struct(F.lit(i).alias("place"), F.lit(m).alias("maturity"), F.col(m).alias("rate"))
                                    for i, m in enumerate(names)]).alias("points"))
     asked = wanted.select(F.lit("curve").alias("curve"), F.col("wanted").cast("timestamp").alias("time")).distinct()
-    hit = asof.backward(asked, facts, ("curve",), "time", None)
+    # curves are daily: a bucket holds a year of them, and the key's carry a row per year
+    hit = asof.backward(asked, facts, ("curve",), "time", None, Layout(bucket_seconds=365 * 86400))
     return (hit.filter("fact_time is not null")
             .select(F.to_date("time").alias("wanted"), F.to_date("fact_time").alias("date"), F.inline("points"))
             .filter("rate is not null"))
