@@ -9,7 +9,10 @@ Fitting takes a bounded sample: at most `per_class` labelled rows of each class,
 with the smallest seeded hash of the id, half for the dictionaries and half for the
 curve. Labels are read there and nowhere else. Scoring compresses every whole text. A
 null or empty text has feature 0. Repeated rows are scored alike. Without labelled rows
-of both classes every score is one half.
+of both classes every score is one half. Ids that tie in the hash are taken by id. An empty
+table gives no rows. A text of any length is compressed whole, in blocks, by one task; texts
+over `longest` bytes are not fitted on. Columns besides doc_id and text are not read,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -21,7 +21,10 @@ components, by repeated minimum labels with pointer jumping.
 
 A-Z count as a-z. A text of fewer words than a shingle has its whole sequence as one;
 without words or text the set is empty and linked with nothing. Rows repeat as documents
-of their own with one node. A null doc_id is never the smallest of a group.
+of their own with one node. A null doc_id is never the smallest of a group. Sets of one
+size tie by their names, which changes no link. An empty table gives no rows. Columns
+besides doc_id and text are not read, whatever their names. A text of any length is held
+whole by one task.
 """
 
 from __future__ import annotations

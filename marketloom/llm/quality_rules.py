@@ -1,8 +1,9 @@
 """Distribution divergence: documents whose letters and words are unlike their language.
 
 A document's histogram of character classes and its histogram of its language's function
-words are compared with the language's own, summed over the documents that pass the base
-rules, by Jensen-Shannon distance (base 2, so from 0 to 1). A document goes when a
+words are compared with the language's own, the mean of the shares in the documents that
+pass the base rules, by Jensen-Shannon distance (base 2, so from 0 to 1). Each document has
+one vote, however long. A document goes when a
 distance exceeds its limit. Short texts have noisy histograms: below `min_chars`
 characters or `min_words` words the distance in question does not count.
 
@@ -13,7 +14,9 @@ All of it is Spark expressions over one row at a time, and one aggregate per lan
 A null text is empty and fails the base rules. A language whose primary subtag has a word
 list is that language in any spelling ('EN', 'en-US'); all others compare as given, null is
 one of them, and each has its own reference and is judged by its characters alone. Repeated
-rows count and are judged each by itself. An empty table gives no rows.
+rows count and are judged each by itself; rows that tie need no order. An empty table gives
+no rows. Columns besides doc_id, text and lang are not read, whatever their names. A text of
+any length is one row of Spark expressions, read whole.
 """
 
 from __future__ import annotations
@@ -93,7 +96,8 @@ def distance(counts: Column, reference: Column) -> Column:
         return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
 
     terms = F.zip_with(share(counts), share(reference), lambda p, q: part(p, (p + q) / 2) + part(q, (p + q) / 2))
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2, F.lit(0.0)))
+    bits = F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2, F.lit(0.0))
+    return F.when((total(counts) > 0) & (total(reference) > 0), F.sqrt(bits))
 
 
 def base_failed() -> Column:
@@ -101,11 +105,13 @@ def base_failed() -> Column:
 
 
 def references(found: DataFrame) -> DataFrame:
-    """The histograms of each language, over its rows of `features` that pass the base rules."""
+    """The mean histograms of each language, over its rows of `features` that pass the base rules."""
     n_words = max(map(len, FUNCTION_WORDS.values())) + 1
-    sums = found.where(~base_failed()).groupBy("lang").agg(
-        *[F.sum(F.get("classes", i)).alias(f"c{i}") for i in range(len(CLASSES) + 1)],
-        *[F.sum(F.get("function_words", i)).alias(f"f{i}") for i in range(n_words)])
+    whole = {c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b) for c in ("classes", "function_words")}
+    voters = found.where(~base_failed()).select("lang", "classes", "function_words", *[F.when(x > 0, x).alias(f"n_{c}") for c, x in whole.items()])
+    sums = voters.groupBy("lang").agg(
+        *[F.avg(F.get("classes", i) / F.col("n_classes")).alias(f"c{i}") for i in range(len(CLASSES) + 1)],
+        *[F.avg(F.get("function_words", i) / F.col("n_function_words")).alias(f"f{i}") for i in range(n_words)])
     return settle(sums.select("lang", F.array(*[f"c{i}" for i in range(len(CLASSES) + 1)]).alias("ref_c"),
                               F.filter(F.array(*[f"f{i}" for i in range(n_words)]), lambda x: x.isNotNull()).alias("ref_f")), "references")
 

@@ -8,7 +8,8 @@ Words are runs of anything but the six ASCII white-space characters, compared as
 are. A null or empty text has no words; a text shorter than `width` words loses none.
 Rows with equal doc_id are one document seen again: they never remove each other. A null
 doc_id is smaller than none: its row removes nothing and loses nothing. Each input row
-gives one row; extra columns are dropped.
+gives one row; extra columns are dropped. Equal windows of one document tie without effect.
+An empty table gives no rows. A text of any length is held whole by one task.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ far smaller sort. Only suffixes whose first `width` bytes matter are told apart.
 
 Texts are UTF-8 bytes; null is empty; strings never cross texts. Every row is a text of
 its own, so repeated rows repeat each other. Ties need no order: equal strings are all
-removed. Each input row gives one row; extra columns are dropped.
+removed. Each input row gives one row; extra columns are dropped. An empty table gives no
+rows. A text of any length is held whole by one task.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ subdomain where the path begins with the rule's; the longest fitting rule decide
 Without one, an Aho-Corasick automaton counts the strict and soft terms in host and
 path that stand alone (no ASCII letter or digit beside them): one strict term or
 `soft_limit` distinct soft ones block. Anything else is allowed. Each row is judged by
-itself, so repeated rows and ties change nothing; extra columns are dropped.
+itself, so repeated rows and ties change nothing; extra columns are dropped. An empty table
+gives no rows; an url of any length is read whole.
 """
 
 from __future__ import annotations

@@ -54,6 +54,8 @@ def test_distance(spark):
 
     got = spark.createDataFrame([(p, q)], "p array<double>, q array<double>").select(Q.distance(F.col("p"), F.col("q"))).first()[0]
     assert abs(got - want) < 1e-12
+    none = spark.createDataFrame([(p, [0.0] * 3), ([0.0] * 3, q), ([0.0] * 3, [0.0] * 3)], "p array<double>, q array<double>")
+    assert [r[0] for r in none.select(Q.distance(F.col("p"), F.col("q"))).collect()] == [None] * 3
 
 
 def test_every_language_has_its_own_reference(spark):
@@ -66,6 +68,13 @@ def test_every_language_has_its_own_reference(spark):
     assert len(got) == 26 and all(r.kept and r.class_distance < 0.1 for r in got.values())
 
 
+def test_one_long_junk_row_does_not_make_the_language(spark):
+    clean = [(i, " ".join(f"{w} w{chr(97 + i)}x{'abcdefghij'[j % 10]}" for j, w in enumerate(Q.FUNCTION_WORDS["en"] * 5)), "en") for i in range(8)]
+    junk = [(99, " ".join(f"#{i * 7919 % 99991}$%&" for i in range(40_000)), "en")]
+    got = {r.doc_id: r.kept for r in Q.judge(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string")).collect()}
+    assert got == {**dict.fromkeys(range(8), True), 99: False}
+
+
 def test_spellings_of_a_listed_language_keep_the_word_test(spark):
     rows = [(i, " ".join(f"{w} w{i}x{j}" for j, w in enumerate(Q.FUNCTION_WORDS["en"] * 4)), lang) for i, lang in enumerate(["en"] * 9 + ["EN", "en-US", "en_GB", "eng"])]
     got = {r.doc_id: r.word_distance for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
