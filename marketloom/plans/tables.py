@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marketloom import views
 from marketloom.plans.registry import query
 from marketloom.session import scratch_path
+from marketloom.sources import daytable as dt
 from marketloom.sources import schema as sc
 from marketloom.sources import store as st
 from marketloom.sources import ticks as tk
@@ -31,6 +32,16 @@ def _store(spark, sf):
     return s
 
 
+def _plain(spark, sf):
+    """The same rows in a plain table: all days, then corrected prices over the days from the 20th."""
+    rows = _rows(spark, sf).filter("symbol <> 'error'")
+    table = dt.DayTable(spark, scratch_path(spark, "days"), rows.schema)
+    table.write(rows)
+    fixed = rows.filter((F.col("date") >= F.lit("2024-01-20").cast("timestamp")) & (F.col("symbol") != "view"))
+    table.write(fixed.withColumn("price", F.col("price") * 2))
+    return table
+
+
 _V1 = "SELECT sym AS symbol, time AS date, price, size, seq FROM ticks"
 _V2 = """SELECT sym AS symbol, time AS date, CASE WHEN time >= TIMESTAMP '2024-01-20' AND sym <> 'view' THEN price * 2 ELSE price END AS price, size, seq FROM ticks"""
 
@@ -53,7 +64,7 @@ def store_replace_days(spark, sf):
 @query("store_range_columns", f"""SELECT symbol, date, price FROM ({_V2}) WHERE symbol IN ('click', 'view') AND date >= TIMESTAMP '2024-01-18'
     AND date < TIMESTAMP '2024-01-23'""", ("ticks",))
 def store_range_columns(spark, sf):
-    return _store(spark, sf).read(["click", "view"], "2024-01-18", "2024-01-22", ["price"])
+    return _plain(spark, sf).read(["click", "view"], "2024-01-18", "2024-01-22", ["price"])
 
 
 @query("store_history", """WITH n AS (SELECT sym, count(*) FILTER (WHERE time < TIMESTAMP '2024-01-15') AS a, count(*) FILTER (WHERE time >= TIMESTAMP '2024-01-15') AS b,
@@ -83,12 +94,12 @@ def store_metadata(spark, sf):
 
 @query("trailing_rows", f"""SELECT * FROM ({_V2}) WHERE symbol <> 'error' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 300""", ("ticks",))
 def trailing_rows(spark, sf):
-    return _store(spark, sf).trailing(300)
+    return _plain(spark, sf).trailing(300)
 
 
 @query("store_newest_day", f"""SELECT * FROM ({_V2}) v WHERE symbol <> 'error' QUALIFY CAST(date AS DATE) = max(CAST(date AS DATE)) OVER (PARTITION BY symbol)""", ("ticks",))
 def store_newest_day(spark, sf):
-    return _store(spark, sf).window()
+    return _plain(spark, sf).newest_period()
 
 
 @query("store_version_diff", """WITH n AS (SELECT sym AS symbol, count(*) FILTER (WHERE time < TIMESTAMP '2024-01-15') AS a, count(*) AS c,
@@ -105,15 +116,16 @@ def store_manifest(spark, sf):
 
 @query("store_flush_day", "SELECT sym AS symbol, count(*) AS rows FROM ticks WHERE CAST(time AS DATE) = DATE '2024-01-17' GROUP BY 1", ("ticks",))
 def store_flush_day(spark, sf):
-    s = st.Store(spark, scratch_path(spark, "flush"), "hdb")
-    return st.flush_day(s, views.ticks(spark, sf), "2024-01-17")
+    ticks = views.ticks(spark, sf)
+    schema = ticks.withColumnsRenamed({"sym": "symbol", "time": "date"}).schema
+    return dt.flush_day(dt.DayTable(spark, scratch_path(spark, "flush"), schema), ticks, "2024-01-17")
 
 
 @query("load_and_verify", """SELECT symbol, count(*) AS offered, count(*) AS stored, count(DISTINCT date_trunc('month', date)) AS resampled, 'PASS' AS status
     FROM daily_bars GROUP BY 1""", ("daily_bars",))
 def load_and_verify(spark, sf):
-    s = st.Store(spark, scratch_path(spark, "load"), "bars", "year")
-    return st.load_and_verify(s, views.daily_bars(spark, sf), "1mo")
+    bars = views.daily_bars(spark, sf)
+    return dt.load_and_verify(dt.DayTable(spark, scratch_path(spark, "load"), bars.schema, "year"), bars, "1mo")
 
 
 @query("day_tables", """WITH k AS (SELECT DISTINCT event_type || strftime(ts, '_%Y_%m_%d') AS key, event_type AS base, CAST(ts AS DATE) AS day FROM events)
