@@ -22,7 +22,7 @@ def small(spark, monkeypatch):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     monkeypatch.setattr(B, "FIRST", 2)
-    monkeypatch.setattr(B, "GROWTH", 3)
+    monkeypatch.setattr(B, "GROWTH", 6)
     monkeypatch.setattr(B, "BUNCH", 3)
     monkeypatch.setattr(V, "BLOCK", 5)
     yield spark
