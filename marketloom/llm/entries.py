@@ -40,7 +40,7 @@ def word_tokenizer() -> str:
 
 @entry("op2_relative_lz")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relative_lz.drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_spans")
+    return relative_lz.drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_spans", "n_factors", "longest_factor")
 
 
 @entry("op3_sum_of_squares_packing")

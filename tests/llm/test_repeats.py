@@ -98,3 +98,35 @@ def test_nothing(spark):
 def test_kept_text_and_spans(spark):
     rows = relative_lz.drop_repeats(frame(spark, fixture()), with_text=True).where("doc_id = 9").collect()
     assert [(r.kept, r.span_starts, r.span_ends) for r in rows] == [("", [0], [120])]
+
+
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_factors_are_copies(spark, batch):
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        rows = relative_lz.drop_repeats(frame(spark, fixture()), with_text=True).collect()
+        assert order((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in rows) == order(brute_words(fixture(), 13))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    words = {i: WORD.findall(t or "") for i, t in fixture() if i is not None}
+    seen = 0
+    for r in rows:
+        factors = list(zip(r.factor_starts, r.factor_words, r.factor_sources, r.factor_source_starts))
+        assert (r.n_factors, r.longest_factor) == (len(factors), max(r.factor_words, default=0))
+        for start, size, source, at in factors:
+            assert source < r.doc_id and size >= 13
+            assert words[r.doc_id][start:start + size] == words[source][at:at + size]
+            assert any(a <= start and start + size <= b for a, b in zip(r.span_starts, r.span_ends))
+            seen += 1
+        for (s, n, d, at), (s2, _, d2, at2) in zip(factors, factors[1:]):
+            assert s2 > s and not (d == d2 and s2 - s == at2 - at and s2 == s + n - 12)
+    assert seen > 20
+    assert [(0, 120, 5, 0)] == [f for r in rows if r.doc_id == 9 for f in zip(r.factor_starts, r.factor_words, r.factor_sources, r.factor_source_starts)]
+
+
+def test_long_factor(spark):
+    text = _prose(77, 70_000)
+    rows = relative_lz.drop_repeats(frame(spark, [(1, text), (4, "before it " + text + " after")]), with_text=True).where("doc_id = 4").collect()
+    assert [(r.n_removed, r.kept) for r in rows] == [(70_000, "before it after")]
+    assert sum(rows[0].factor_words) - 12 * (rows[0].n_factors - 1) > 69_950 and rows[0].longest_factor > 65_536
