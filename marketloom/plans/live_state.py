@@ -39,8 +39,11 @@ def _in_segments(spark, sf, shape, step, late=False):
     return root
 
 
-_TICK = (F.col("event_type").alias("sym"), F.col("ts").alias("time"), F.col("value").alias("price"),
-         F.get_json_object("props", "$.k").cast("double").alias("size"), F.col("event_id").alias("seq"))
+def _ticks():
+    return (F.col("event_type").alias("sym"), F.col("ts").alias("time"), F.col("value").alias("price"),
+            F.get_json_object("props", "$.k").cast("double").alias("size"), F.col("event_id").alias("seq"))
+
+
 _BARS = """sym, time_bucket(INTERVAL '1 hour', time) AS date, arg_min(price, (time, seq)) AS open, max(price) AS high, min(price) AS low,
     arg_max(price, (time, seq)) AS close, sum(size) AS volume, round(sum(price * size) / nullif(sum(size), 0), 8) AS vwap, count(*) AS trades"""
 _ARRIVED = f"""a AS (SELECT event_type AS sym, ts AS time, value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS size, event_id AS seq, {_ARRIVAL} AS run FROM events),
@@ -57,7 +60,7 @@ def _late(spark, sf):
         reports.append(live.drive(bars, live.append_batches(f"{root}/out"), f"{root}/checkpoint", "update"))
         step.schema = bars.schema
 
-    root = _in_segments(spark, sf, _TICK, step, late=True)
+    root = _in_segments(spark, sf, _ticks(), step, late=True)
     return live.settled(live.written(spark, f"{root}/out", step.schema), ("sym", "date")), reports
 
 
@@ -87,7 +90,7 @@ def stream_restart(spark, sf):
         step.schema = log.schema
         step.again()
 
-    root = _in_segments(spark, sf, _TICK, step)
+    root = _in_segments(spark, sf, _ticks(), step)
     step.again()
     counts = [F.lit(n).cast("long").alias(f"{name}_run") for n, name in zip(came, ("first", "second", "third", "idle"), strict=True)]
     return live.written(spark, f"{root}/out", step.schema).select("sym", "time", "price", "size", "seq", *counts)
@@ -125,7 +128,7 @@ def stream_retry(spark, sf):
         step.schema = log.schema
         runs.append(n)
 
-    root = _in_segments(spark, sf, _TICK, step)
+    root = _in_segments(spark, sf, _ticks(), step)
     ticks = live.written(spark, f"{root}/out", step.schema).withColumn("run", F.col("batch_id"))
     appended = ticks.groupBy("run", "sym").agg(F.count("*").alias("appended"), F.max(F.struct("time", "seq", "price")).alias("last"))
     upto = appended.alias("d").join(appended.alias("t"), (F.col("d.sym") == F.col("t.sym")) & (F.col("t.run") <= F.col("d.run")))
@@ -138,7 +141,7 @@ def stream_retry(spark, sf):
     FROM d JOIN a t ON t.sym = d.sym AND t.day = d.day AND t.run <= d.run GROUP BY 1, 2, 3""", ("user_ticks",))
 def stream_changed(spark, sf):
     """Coalesced emission: each run sends the latest quote of the keys it touched, and no other."""
-    shape = (F.col("user_id").cast("string").alias("sym"), *_TICK[1:])
+    shape = (F.col("user_id").cast("string").alias("sym"), *_ticks()[1:])
     seen = []
 
     def step(root, log):
@@ -211,7 +214,7 @@ def stream_indicators(spark, sf):
         with stateful.keyed_state(spark):
             step.out = live.drain(stateful.indicator_stream(log, reqs, "1h", "6 hours"), "update", root=f"{root}/push")
 
-    _in_segments(spark, sf, _TICK, step)
+    _in_segments(spark, sf, _ticks(), step)
     out = topk.latest(step.out, ("symbol", "date"), (F.col("batch_id").desc(),))
     names = {c.split("|")[0]: c for r in reqs for c in r.columns()}
     return out.select("symbol", "date", "close", *[F.round(F.col(f"`{names[n]}`"), 4).alias(n) for n in ("sma", "willr", "ema", "macd", "macd_signal", "atr", "rsi")])

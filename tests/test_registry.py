@@ -1,5 +1,9 @@
 """The driver contract, and a cross-section of queries against their twins."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -16,6 +20,11 @@ def test_every_query_has_a_twin():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_registers_before_there_is_a_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=os.path.dirname(entry.__file__))
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).limit(1).count() == 1
 
