@@ -21,7 +21,8 @@ def asked(spark, sf, start="2023-12-30", end="2024-02-02"):
                         F.lit(end).cast("timestamp").alias("end"))
 
 
-@query("range_coalesce", """WITH r AS (SELECT CAST(user_id AS VARCHAR) AS sym, date_trunc('hour', ts) AS s,
+# Equal ranges are one range: rows alike in `s` and `e` would have no order between the two windows.
+@query("range_coalesce", """WITH r AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS sym, date_trunc('hour', ts) AS s,
       date_trunc('hour', ts) + INTERVAL '5 hours' AS e FROM events),
     p AS (SELECT *, max(e) OVER (PARTITION BY sym ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
     i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s - INTERVAL '1 hour' > reach THEN 1 ELSE 0 END)
