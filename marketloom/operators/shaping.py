@@ -199,21 +199,26 @@ ASSETS = "https://assets.example.com"
 # --- reading ---------------------------------------------------------------------------------
 
 
+def value(text: Column, kind: str) -> Column:
+    """A provider's text as the kind of its field."""
+    return {"text": lambda t: t, "num": x.number, "int": x.whole, "day": x.day, "pct": x.percent,
+            "bool": lambda t: t.try_cast("boolean"), "pos": lambda t: F.nullif(x.number(t), F.lit(0.0)),
+            "epoch": lambda t: F.timestamp_seconds(F.nullif(x.number(t), F.lit(0.0)))}[kind](text)
+
+
+def _first(values: list[Column], kind: str) -> Column:
+    """The first value that is not null or zero-like; the last one as it is."""
+    found, *others = values
+    for other in others:
+        empty = F.lit(0.0) if kind == "num" else F.lit("")
+        found = F.coalesce(F.nullif(found, empty) if kind in ("num", "text") else found, other)
+    return found
+
+
 def field(doc: Column, path: str, kind: str) -> Column:
     """One value of a variant; `a|b` reads b where a is null or zero-like."""
-    found = None
-    for one in path.split("|"):
-        steps = "".join(f"['{s}']" for s in one.split("."))
-        text = F.try_variant_get(doc, f"${steps}", "string")
-        value = {"text": lambda t: t, "num": x.number, "int": x.whole, "day": x.day, "pct": x.percent,
-                 "bool": lambda t: t.try_cast("boolean"), "pos": lambda t: F.nullif(x.number(t), F.lit(0.0)),
-                 "epoch": lambda t: F.timestamp_seconds(F.nullif(x.number(t), F.lit(0.0)))}[kind](text)
-        if found is None:
-            found = value
-        else:
-            empty = F.lit(0.0) if kind == "num" else F.lit("")
-            found = F.coalesce(F.nullif(found, empty) if kind in ("num", "text") else found, value)
-    return found
+    steps = ["".join(f"['{s}']" for s in one.split(".")) for one in path.split("|")]
+    return _first([value(F.try_variant_get(doc, f"${s}", "string"), kind) for s in steps], kind)
 
 
 def pick(landed: DataFrame, fields: dict[str, tuple[str, str]], doc: str = "doc") -> DataFrame:
@@ -221,6 +226,31 @@ def pick(landed: DataFrame, fields: dict[str, tuple[str, str]], doc: str = "doc"
     return landed.select("symbol", *[field(F.col(doc), p, k).alias(o) for o, (p, k) in fields.items()])
 
 
+def _type(paths: list[list[str]]) -> str:
+    """The type, all texts, of what lies at the paths."""
+    tree: dict[str, list[list[str]]] = {}
+    for step, *rest in paths:
+        tree.setdefault(step, []).append(rest)
+    return "struct<" + ",".join(f"`{s}`:" + (_type(below) if all(below) else "string") for s, below in tree.items()) + ">"
+
+
+def pick_all(landed: DataFrame, fields: dict[str, tuple[str, str]], doc: str = "doc", where: Column | None = None) -> DataFrame:
+    """`pick` for wide maps, of the documents that `where` holds for: all texts are read in one
+    walk of a document, and a filter on the document or the result reads no document again."""
+    paths = [one.split(".") for p, _ in fields.values() for one in p.split("|")]
+    texts = F.array(F.try_variant_get(F.col(doc), "$", _type(paths)))
+    # Filters do not move below a generator, so what they ask is read once.
+    read = landed.select("symbol", F.explode(texts if where is None else F.when(where, texts)).alias("_texts"))
+
+    def at(one: str) -> Column:
+        found = F.col("_texts")
+        for step in one.split("."):
+            found = found[step]
+        return found
+
+    return read.select("symbol", *[_first([value(at(one), k) for one in p.split("|")], k).alias(o) for o, (p, k) in fields.items()])
+
+
 def documents(landed: DataFrame) -> DataFrame:
     return landed.select(F.upper("symbol").alias("symbol"), F.parse_json("payload").alias("doc"))
 
@@ -274,12 +304,12 @@ def statements(landed: DataFrame, statement: str = "income", period: str = "annu
 def key_metrics(landed: DataFrame) -> DataFrame:
     has = F.try_variant_get("doc", "$.Highlights", "variant").isNotNull() | F.try_variant_get(
         "doc", "$.Valuation", "variant").isNotNull()
-    return pick(documents(landed).filter(has), METRICS).withColumn("fiscal_period", F.lit("TTM"))
+    return pick_all(documents(landed), METRICS, where=has).withColumn("fiscal_period", F.lit("TTM"))
 
 
 def share_statistics(landed: DataFrame) -> DataFrame:
     has = F.try_variant_get("doc", "$.SharesStats", "variant").isNotNull()
-    out = pick(documents(landed).filter(has), SHARES)
+    out = pick_all(documents(landed), SHARES, where=has)
     free = F.when((F.col("float_shares") != 0) & (F.col("outstanding_shares") != 0),
                   F.round(F.col("float_shares") / F.col("outstanding_shares") * 100, 4))
     return out.withColumn("free_float", free)
@@ -287,10 +317,9 @@ def share_statistics(landed: DataFrame) -> DataFrame:
 
 def profile(landed: DataFrame) -> DataFrame:
     """Company profile; the chief executive is the first officer whose title says so."""
-    docs = documents(landed)
-    logo = field(F.col("doc"), "General.LogoURL", "text")
-    out = docs.select("symbol", *[field(F.col("doc"), p, k).alias(o) for o, (p, k) in PROFILE.items()],
-                      F.when(F.startswith(logo, F.lit("/")), F.concat(F.lit(ASSETS), logo)).otherwise(logo).alias("logo_url"))
+    logo = F.col("logo_url")
+    out = pick_all(documents(landed), PROFILE | {"logo_url": ("General.LogoURL", "text")}).withColumn(
+        "logo_url", F.when(F.startswith(logo, F.lit("/")), F.concat(F.lit(ASSETS), logo)).otherwise(logo))
     boss = (entries(landed, "General.Officers").withColumn("_n", F.col("key").try_cast("int"))
             .filter(F.contains(F.upper(field(F.col("doc"), "Title", "text")), F.lit("CEO")))
             .groupBy("symbol").agg(F.min_by(field(F.col("doc"), "Name", "text"), "_n").alias("ceo")))
@@ -316,7 +345,7 @@ def forward_eps(landed: DataFrame) -> DataFrame:
 
 
 def price_target(landed: DataFrame) -> DataFrame:
-    return pick(documents(landed), TARGET).filter("target_consensus <> 0")
+    return pick_all(documents(landed), TARGET).filter("target_consensus <> 0")
 
 
 def institutional_ownership(landed: DataFrame) -> DataFrame:
@@ -355,7 +384,7 @@ def government_trades(landed: DataFrame) -> DataFrame:
 
 
 def etf_info(landed: DataFrame) -> DataFrame:
-    return pick(documents(landed), ETF)
+    return pick_all(documents(landed), ETF)
 
 
 def etf_holdings(landed: DataFrame) -> DataFrame:
@@ -374,7 +403,7 @@ def etf_weights(landed: DataFrame, section: str = "Sector_Weights", name: str =
 
 
 def esg(landed: DataFrame) -> DataFrame:
-    out = pick(documents(landed), ESG).filter("esg_score is not null")
+    out = pick_all(documents(landed), ESG).filter("esg_score is not null")
     return out.withColumn("disclosure_date", F.col("period_ending"))
 
 
