@@ -75,10 +75,11 @@ def dedupe(ticks: DataFrame, keys: tuple[str, ...] = ("sym", "time", "seq")) ->
 
 def counts_by_day(expected: DataFrame, stored: DataFrame, group: tuple[str, ...] = ("symbol",), time: str = "date") -> DataFrame:
     """Row counts of both sides per group and day, and whether they agree."""
-    def n(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*group, F.to_date(time).alias("day")).agg(F.count("*").alias(name))
+    # Both sides are counted in one aggregate, so no joined side is sorted or held besides.
+    def n(df: DataFrame, expected: int, stored: int) -> DataFrame:
+        return df.select(*group, F.to_date(time).alias("day"), F.lit(expected).alias("_e"), F.lit(stored).alias("_s"))
 
-    both = n(expected, "expected").join(n(stored, "stored"), [*group, "day"], "full_outer").fillna(0, ["expected", "stored"])
+    both = n(expected, 1, 0).unionByName(n(stored, 0, 1)).groupBy(*group, "day").agg(F.sum("_e").alias("expected"), F.sum("_s").alias("stored"))
     return both.withColumn("ok", F.col("expected") == F.col("stored"))
 
 
