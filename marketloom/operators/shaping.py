@@ -261,8 +261,17 @@ def entries(landed: DataFrame, section: str | None = None) -> DataFrame:
     as_map = F.from_json(text, "map<string,variant>", {"mode": "PERMISSIVE"})
     as_list = F.from_json(text, "array<variant>", {"mode": "PERMISSIVE"})
     is_list = F.startswith(F.ltrim(text), F.lit("["))
-    listed = F.transform(as_list, lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")))
-    members = F.when(is_list, listed).otherwise(F.map_entries(as_map))
+
+    def listed(members: Column) -> Column:
+        return F.transform(members, lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")))
+
+    # A body is parsed once. What that finds no member in (a key written twice, a section that
+    # is text or cut off) is read leniently from the section's text.
+    path = "$" if section is None else "$" + "".join(f"['{s}']" for s in section.split("."))
+    landed = landed.select("symbol", "payload", F.try_parse_json("payload").alias("_doc"))
+    members = F.coalesce(F.map_entries(F.try_variant_get("_doc", path, "map<string,variant>")),
+                         listed(F.try_variant_get("_doc", path, "array<variant>")),
+                         F.when(is_list, listed(as_list)).otherwise(F.map_entries(as_map)))
     return landed.select(F.upper("symbol").alias("symbol"), F.explode(members).alias("_m")).select(
         "symbol", F.col("_m.key").alias("key"), F.col("_m.value").alias("doc"))
 
