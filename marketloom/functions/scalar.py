@@ -40,6 +40,12 @@ def clean(c: Column) -> Column:
     return F.when(~c.isin(*SENTINELS), c)
 
 
+def double(text: Column) -> Column:
+    """Text as a double, else null. Every number holds a digit or is a NaN or an infinity;
+    other texts are not tried, since each failure costs an exception."""
+    return F.when(F.rlike(text, F.lit("[0-9]|[nN][aAfF]")), text.try_cast("double"))
+
+
 def number(c: Column) -> Column:
     return clean(c.cast("string")).try_cast("double")
 

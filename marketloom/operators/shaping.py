@@ -302,12 +302,12 @@ def statements(landed: DataFrame, statement: str = "income", period: str = "annu
     items = head.select("symbol", "period_ending", x.fiscal_year(F.col("period_ending"), month).alias("fiscal_year"),
                         (F.lit("FY") if period == "annual" else quarter).alias("fiscal_period"),
                         F.explode("_items").alias("_item", "_text"))
-    text = F.nullif("_text", F.lit(""))
-    return (items.filter(~F.col("_item").isin("date", "filing_date", "currency_symbol"))
-            .select("symbol", "period_ending", "fiscal_year", "fiscal_period",
-                    F.coalesce(x.lookup(names, F.col("_item")), x.snake(F.col("_item"))).alias("item"),
-                    text.try_cast("double").alias("value"),
-                    F.when(text.try_cast("double").isNull(), text).alias("text")))
+    # a text is read as a number once; what holds no number is not tried
+    known = (items.filter(~F.col("_item").isin("date", "filing_date", "currency_symbol"))
+             .withColumn("value", x.double(F.col("_text"))))
+    return known.select("symbol", "period_ending", "fiscal_year", "fiscal_period",
+                        F.coalesce(x.lookup(names, F.col("_item")), x.snake(F.col("_item"))).alias("item"), "value",
+                        F.when(F.col("value").isNull(), F.nullif("_text", F.lit(""))).alias("text"))
 
 
 def key_metrics(landed: DataFrame) -> DataFrame:

@@ -34,3 +34,34 @@ def test_wide_maps_read_a_body_once_and_say_what_single_fields_say(spark):
     text = plan(got.filter("pe_ratio is not null"))
     assert text.count("parseJson") + text.count("parse_json") == 1
     assert not any("Filter" in line and "variant_get" in line for line in text.splitlines())
+
+
+def test_members_come_from_one_parse_and_odd_sections_still_leniently(spark):
+    bodies = [("a", '{"X":{"Y":{"k":{"v":1.5},"l":null}}}'), ("b", '{"X":{"Y":[{"v":"1"},2,null]}}'), ("c", '{"X":{"Y":{"k":1,"k":2}}}'),
+              ("d", '{"X":{"Y":"[1,2]"}}'), ("e", '{"X":{"Y":3}}'), ("f", '{"X":{}}'), ("g", '{"X":{"Y":[1'), ("h", None)]
+    landed = spark.createDataFrame(bodies, "symbol string, payload string")
+    got = shaping.entries(landed, "X.Y")
+    # the section's text alone, as it was read for every body before
+    text = F.get_json_object("payload", "$.X.Y")
+    listed = F.transform(F.from_json(text, "array<variant>"), lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")))
+    members = F.when(F.startswith(F.ltrim(text), F.lit("[")), listed).otherwise(F.map_entries(F.from_json(text, "map<string,variant>")))
+    want = landed.select(F.upper("symbol").alias("symbol"), F.explode(members).alias("_m")).select("symbol", "_m.key", F.col("_m.value").alias("doc"))
+    show = [F.col(c) for c in ("symbol", "key")] + [F.to_json("doc").alias("doc")]
+    assert rows(got.select(*show)) == rows(want.select(*show)) and got.count() == 9
+    line = next(x for x in plan(got).splitlines() if "Generate" in x)
+    assert line.index("try_variant_get") < line.index("get_json_object")
+
+
+def test_statement_texts_are_tried_once(spark):
+    items = '{"date":"%s","totalRevenue":"1e3","netIncome":" 7 ","ebit":"","a":"NaN","b":"-Infinity","c":"n. m.","d":null,"e":"1d","f":"N"}'
+    body = '{"General":{"FiscalYearEnd":"June"},"Financials":{"Income_Statement":{"%s":{' + ",".join(
+        f'"{d}":{items % d}' for d in ("2020-03-31", "2020-06-30", "2020-09-30")) + "}}}}"
+    landed = spark.createDataFrame([("a", body % "quarterly")], "symbol string, payload string")
+    whole, cut = shaping.statements(landed, "income", "quarter"), shaping.statements(landed, "income", "quarter", 2)
+    assert whole.count() == 27 and rows(cut) == rows(whole.filter("period_ending > '2020-04-30'"))
+    got = {r.item: (r.value, r.text) for r in cut.collect()}
+    want = {r.item: (r.v, r.t) for r in spark.sql(
+        "SELECT k AS item, try_cast(nullif(v, '') AS double) AS v, CASE WHEN try_cast(v AS double) IS NULL THEN nullif(v, '') END AS t FROM VALUES "
+        "('revenue','1e3'),('net_income',' 7 '),('ebit',''),('a','NaN'),('b','-Infinity'),('c','n. m.'),('d',CAST(NULL AS STRING)),('e','1d'),('f','N') AS x(k, v)").collect()}
+    assert repr(sorted(got.items())) == repr(sorted(want.items()))
+    assert plan(whole).count("try_cast") == 1
