@@ -295,7 +295,10 @@ def statements(landed: DataFrame, statement: str = "income", period: str = "annu
     if limit:
         from marketloom.operators.topk import newest
 
-        head = newest(head, limit, ("symbol",), (F.col("_date").desc_nulls_last(),)).drop("rank")
+        # a period's items are ranked as one text, a fraction of their map in the sort's memory
+        packed = head.select("symbol", "_fye", "_date", F.to_json("_items").alias("_items"))
+        kept = newest(packed, limit, ("symbol",), (F.col("_date").desc_nulls_last(),)).drop("rank")
+        head = kept.withColumn("_items", F.from_json("_items", "map<string,string>"))
     month = x.fiscal_month(F.col("_fye"))
     head = head.withColumn("period_ending", x.day(F.col("_date"))).filter("period_ending is not null")
     quarter = F.concat(F.lit("Q"), x.fiscal_quarter(F.col("period_ending"), month))

@@ -65,3 +65,12 @@ def test_statement_texts_are_tried_once(spark):
         "('revenue','1e3'),('net_income',' 7 '),('ebit',''),('a','NaN'),('b','-Infinity'),('c','n. m.'),('d',CAST(NULL AS STRING)),('e','1d'),('f','N') AS x(k, v)").collect()}
     assert repr(sorted(got.items())) == repr(sorted(want.items()))
     assert plan(whole).count("try_cast") == 1
+
+
+def test_newest_periods_are_ranked_with_their_items_as_one_text(spark):
+    body = '{"Financials":{"Income_Statement":{"quarterly":{"2020-03-31":{"date":"2020-03-31","a":null},"2020-06-30":{"date":"2020-06-30","a":"\\u00e9\\""}}}}}'
+    cut = shaping.statements(spark.createDataFrame([("a", body)], "symbol string, payload string"), "income", "quarter", 1)
+    assert [(str(r.period_ending), r.item, r.text) for r in cut.collect()] == [("2020-06-30", "a", 'é"')]
+    text = plan(cut)
+    above, below = text[:text.index("Window")], text[text.index("Window"):]
+    assert "Generate explode(_items" in above and "StructsToJson" in below
