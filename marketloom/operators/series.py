@@ -147,16 +147,18 @@ def previous(df: DataFrame, layout: Layout, columns: dict[str, str]) -> DataFram
     return out.select(*df.columns, *[F.col(f"_prev.f{i}").alias(n) for i, n in enumerate(columns)])
 
 
-def number(df: DataFrame, layout: Layout) -> DataFrame:
-    """Add the 0-based row number of each row within its key."""
-    return scan(df, layout, {POS: Prefix("count")}).withColumn(POS, F.col(POS) - 1)
+def number(df: DataFrame, layout: Layout, totals: dict[str, Column] | None = None) -> DataFrame:
+    """Add the 0-based row number of each row within its key, and the sums of `totals` before it."""
+    sums = {n: Prefix("sum", F.coalesce(v.cast("double"), F.lit(0.0)), False) for n, v in (totals or {}).items()}
+    return scan(df, layout, {POS: Prefix("count"), **sums}).withColumn(POS, F.col(POS) - 1)
 
 
-def parts(df: DataFrame, layout: Layout, lookback: int) -> DataFrame:
+def parts(df: DataFrame, layout: Layout, lookback: int, totals: dict[str, Column] | None = None) -> DataFrame:
     """Cut each key into parts of `rows_per_part` rows plus `lookback` halo rows.
 
     A halo row is a copy of one of the rows just before the part; `_halo` marks
-    it and `drop_halo` removes it after the frames are evaluated.
+    it and `drop_halo` removes it after the frames are evaluated. `totals` are sums over
+    the rows of the key before each row, null on its first.
     """
     size = layout.rows_per_part
     if lookback > size:
@@ -164,7 +166,7 @@ def parts(df: DataFrame, layout: Layout, lookback: int) -> DataFrame:
     own = F.floor(F.col(POS) / size).cast("long")
     in_tail = F.pmod(F.col(POS), F.lit(size)) >= size - lookback
     return (
-        number(df, layout)
+        number(df, layout, totals)
         .withColumn(OWN, own)
         .withColumn(PART, F.explode(
             F.when(in_tail, F.array(F.col(OWN), F.col(OWN) + 1)).otherwise(F.array(F.col(OWN)))))

@@ -220,7 +220,9 @@ def session_levels(spark, sf):
 def indicators_together(spark, sf):
     reqs = [ind.resolve("sma", period=20), ind.resolve("bbands"), ind.resolve("vwap"), ind.resolve("willr"),
             ind.resolve("sma", period=20)]
-    out = ind.compute(views.part_bars(spark, sf), [*reqs, _mean_range()])
+    # only what the requests read travels with the rows
+    bars = views.part_bars(spark, sf).select("symbol", "date", "high", "low", "close", "adj_close", "volume")
+    out = ind.compute(bars, [*reqs, _mean_range()])
     return out.select("symbol", "date", *[F.round(F.col(f"`{c}`"), 4).alias(a) for c, a in (
         ("sma|period=20", "sma"), ("bb_up|k=2.0,period=20", "bb_up"), ("willr|period=14", "willr"),
         ("mean_tr|period=14", "mean_tr"), ("vwap", "vwap"))])
