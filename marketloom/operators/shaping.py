@@ -196,6 +196,12 @@ PROFILE_INDICATORS = {
 }
 ASSETS = "https://assets.example.com"
 
+#: Texts of any length are read; the reader's own limit is 20 million characters.
+WHOLE = {"mode": "PERMISSIVE", "maxStringLen": str(2 ** 31 - 1)}
+#: A news story's fields, where no variant holds it.
+STORY = ("struct<date string, title string, content string, link string, symbols array<string>, tags array<string>, "
+         "sentiment map<string,double>>")
+
 # --- reading ---------------------------------------------------------------------------------
 
 
@@ -255,25 +261,38 @@ def documents(landed: DataFrame) -> DataFrame:
     return landed.select(F.upper("symbol").alias("symbol"), F.parse_json("payload").alias("doc"))
 
 
-def entries(landed: DataFrame, section: str | None = None) -> DataFrame:
-    """One row per member of a section that is a list or a keyed object: `symbol, key, doc`."""
-    text = F.col("payload") if section is None else F.get_json_object("payload", f"$.{section}")
-    as_map = F.from_json(text, "map<string,variant>", {"mode": "PERMISSIVE"})
-    as_list = F.from_json(text, "array<variant>", {"mode": "PERMISSIVE"})
-    is_list = F.startswith(F.ltrim(text), F.lit("["))
+def _listed(members: Column) -> Column:
+    return F.transform(members, lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")))
+
 
-    def listed(members: Column) -> Column:
-        return F.transform(members, lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")))
+def _members(text: Column, kind: str) -> Column:
+    """`key, value` of each member of a list or a keyed object, read leniently; values are of type `kind`."""
+    as_list, as_map = F.from_json(text, f"array<{kind}>", WHOLE), F.from_json(text, f"map<string,{kind}>", WHOLE)
+    return F.when(F.startswith(F.ltrim(text), F.lit("[")), _listed(as_list)).otherwise(F.map_entries(as_map))
 
+
+def entries(landed: DataFrame, section: str | None = None, plain: str | None = None) -> DataFrame:
+    """One row per member of a section that is a list or a keyed object: `symbol, key, doc`.
+
+    A variant holds 128 MiB. With `plain`, a struct type, the members of bodies that no variant
+    can be made of come in a column `plain` of that type, and all others in `doc`.
+    """
+    text = F.col("payload") if section is None else F.get_json_object("payload", f"$.{section}")
     # A body is parsed once. What that finds no member in (a key written twice, a section that
     # is text or cut off) is read leniently from the section's text.
     path = "$" if section is None else "$" + "".join(f"['{s}']" for s in section.split("."))
-    landed = landed.select("symbol", "payload", F.try_parse_json("payload").alias("_doc"))
+    landed = landed.select("symbol", "payload", F.from_json("payload", "variant", WHOLE).alias("_doc"))
     members = F.coalesce(F.map_entries(F.try_variant_get("_doc", path, "map<string,variant>")),
-                         listed(F.try_variant_get("_doc", path, "array<variant>")),
-                         F.when(is_list, listed(as_list)).otherwise(F.map_entries(as_map)))
-    return landed.select(F.upper("symbol").alias("symbol"), F.explode(members).alias("_m")).select(
-        "symbol", F.col("_m.key").alias("key"), F.col("_m.value").alias("doc"))
+                         _listed(F.try_variant_get("_doc", path, "array<variant>")), _members(text, "variant"))
+    out = [F.col("_m.key").alias("key"), F.col("_m.value").alias("doc")]
+    if plain:
+        def row(m, doc, rest):
+            return F.struct(m["key"].alias("key"), doc.cast("variant").alias("value"), rest.cast(plain).alias("plain"))
+
+        members = F.coalesce(F.transform(members, lambda m: row(m, m["value"], F.lit(None))),
+                             F.transform(_members(text, plain), lambda m: row(m, F.lit(None), m["value"])))
+        out.append(F.col("_m.plain").alias("plain"))
+    return landed.select(F.upper("symbol").alias("symbol"), F.explode(members).alias("_m")).select("symbol", *out)
 
 
 # --- bundles ------------------------------------------------------------------------------------
@@ -512,15 +531,19 @@ def economic_calendar(landed: DataFrame, taxonomy: DataFrame) -> DataFrame:
 
 
 def news(landed: DataFrame) -> DataFrame:
-    """Stories with a date and a title; the body stays whole, the excerpt is its first 280 characters."""
-    docs = entries(landed)
-    d = F.col("doc")
-    body = F.nullif(field(d, "content", "text"), F.lit(""))
-    tags = {c: F.try_variant_get(d, f"$.{c}", "array<string>") for c in ("symbols", "tags")}
-    return docs.select(field(d, "date", "text").alias("date"), field(d, "title", "text").alias("title"), body.alias("body"),
-                       x.excerpt(body).alias("excerpt"), field(d, "link", "text").alias("url"),
+    """Stories with a date and a title; the body stays whole, however long, the excerpt is its
+    first 280 characters; an empty body is null."""
+    docs = entries(landed, plain=STORY)
+
+    def part(name: str, kind: str = "string") -> Column:
+        return F.coalesce(F.try_variant_get("doc", f"$.{name}", kind), F.col(f"plain.{name}"))
+
+    body = F.nullif(part("content"), F.lit(""))
+    tags = {c: part(c, "array<string>") for c in ("symbols", "tags")}
+    return docs.select(part("date").alias("date"), part("title").alias("title"), body.alias("body"),
+                       x.excerpt(body).alias("excerpt"), part("link").alias("url"),
                        *[F.when(F.size(v) > 0, v).alias(n) for n, v in tags.items()],
-                       F.try_variant_get(d, "$.sentiment", "map<string,double>").alias("sentiment")).filter(
+                       part("sentiment", "map<string,double>").alias("sentiment")).filter(
         "date <> '' and title <> ''")
 
 

@@ -261,8 +261,8 @@ def ref_economic_calendar(spark, sf):
     return sh.economic_calendar(landed, taxonomy).select("date", "event", "actual", "source", "category")
 
 
-@query("ref_news", """SELECT '2024-01-01' AS date, source || ' ' || doc_id AS title, text AS body, nullif(substr(text, 1, 280), '') AS excerpt, [lang] AS symbols FROM documents
-    WHERE source <> ''""")
+@query("ref_news", """SELECT '2024-01-01' AS date, source || ' ' || doc_id AS title, nullif(text, '') AS body, nullif(substr(text, 1, 280), '') AS excerpt, [lang] AS symbols FROM documents
+    WHERE source || ' ' || doc_id <> ''""")
 def ref_news(spark, sf):
     d = views.table(spark, sf, "documents").select(F.lit("world").alias("symbol"), F.to_json(F.array(F.struct(
         F.lit("2024-01-01").alias("date"), F.concat("source", F.lit(" "), "doc_id").alias("title"), F.col("text").alias("content"),
